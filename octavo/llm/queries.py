@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, packing, simhash
+
+#: Name of a vocabulary file of the installed public tokenizers.
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 
 def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,12 +27,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(BYTE_BPE)).withColumnRenamed("id", "doc_id")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary(WORD_BPE)).withColumnRenamed("id", "doc_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), columns=["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op8_simhash": op8_simhash, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op8_simhash": op8_simhash, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op10_exact_dedup": r"""
