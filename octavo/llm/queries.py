@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash
+from . import bpe, exact_dedup, packing, quality_rules, simhash
 
 #: Name of a vocabulary file of the installed public tokenizers.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -35,12 +35,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary(WORD_BPE)).withColumnRenamed("id", "doc_id")
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), columns=["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op8_simhash": op8_simhash, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op7_rules": op7_rules, "op8_simhash": op8_simhash, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op10_exact_dedup": r"""
