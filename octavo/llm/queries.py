@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality_rules, simhash
+from . import bpe, exact_dedup, packing, quality_rules, sharding, simhash, warc
 
 #: Name of a vocabulary file of the installed public tokenizers.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -35,6 +35,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary(WORD_BPE)).withColumnRenamed("id", "doc_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(_table(spark, sf_dir, "documents"), columns=["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -45,9 +53,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op7_rules": op7_rules, "op8_simhash": op8_simhash, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op5_warc": op5_warc, "op6_sharding": op6_sharding, "op7_rules": op7_rules, "op8_simhash": op8_simhash, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
+    "op5_warc": r"""
+        with t as (select page_id, coalesce(html, '') as p from pages),
+        d as (select *, max(page_id) over (partition by p) as last, sha1(encode(p)) as h from t),
+        b as (select *, array_to_string(list_transform(range(1, 41), lambda i:
+              substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(h, i::int, 1)) - 1)::int + 1, 4)), '') as bits from d)
+        select page_id, octet_length(encode(p))::bigint as payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   list_sum(list_transform(range(0, 5), lambda j: substr(bits, (5 * i + j + 1)::int, 1)::int * (16 >> j::int)))::int + 1, 1)), '') as payload_digest,
+               case when page_id = last then 'response' else 'revisit' end as record_type,
+               case when page_id = last then null else last end as refers_to
+        from b""",
     "op10_exact_dedup": r"""
         with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
