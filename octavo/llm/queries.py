@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality_rules, sharding, simhash, warc
+from . import bpe, exact_dedup, license_scan, packing, quality_rules, sharding, simhash, warc
 
 #: Name of a vocabulary file of the installed public tokenizers.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -22,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), columns=["doc_id", "text"])
     return found.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -53,7 +58,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op5_warc": op5_warc, "op6_sharding": op6_sharding, "op7_rules": op7_rules, "op8_simhash": op8_simhash, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op5_warc": op5_warc, "op6_sharding": op6_sharding, "op7_rules": op7_rules, "op8_simhash": op8_simhash, "op9_license": op9_license, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op5_warc": r"""
