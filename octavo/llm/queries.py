@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, packing, quality_rules, sharding, simhash, warc
+from . import bpe, exact_dedup, license_scan, packing, pii, quality_rules, sharding, simhash, warc
 
 #: Name of a vocabulary file of the installed public tokenizers.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -32,6 +32,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.digests(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(BYTE_BPE)).withColumnRenamed("id", "doc_id")
 
@@ -58,7 +63,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op5_warc": op5_warc, "op6_sharding": op6_sharding, "op7_rules": op7_rules, "op8_simhash": op8_simhash, "op9_license": op9_license, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op5_warc": op5_warc, "op6_sharding": op6_sharding, "op7_rules": op7_rules, "op8_simhash": op8_simhash, "op9_license": op9_license, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op5_warc": r"""

@@ -1,0 +1,84 @@
+import hashlib
+import random
+import re
+
+from octavo.llm import pii, queries
+from pyspark.sql import functions as F
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute(text):
+    found = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                found.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}", kind))
+    return sorted(found)
+
+
+def check(text, r):
+    want = brute(text)
+    assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[3] == k for w in want) for k in BASE], text[:200]
+    assert r.base_sha256 == hashlib.sha256(",".join(w[2] for w in want).encode()).hexdigest(), text[:200]
+    assert {w[2] for w in want} <= set(r.spans.split(","))
+    at = [(int(s.split(":")[1]), list(BASE).index(s.split(":")[0])) for s in r.spans.split(",") if s]
+    assert at == sorted(at)
+
+
+ODD = [
+    None, "", " ", "a@b.c_x@d.e a@b@c.d x@y. é@b.cc ä a.b+c@d-e.f.g", "1.2.3.4.5.6.7.8 256.1.1.1 0000255.1.1.1 1.2.3 00.0.0.0", "4539578763621486 4539 5787 6362 1486 4539-5787-6362-1487 0000000000000000",
+    "+1 (523) 555-1055 +49 30 1234567890123456 +1 2 +12345678 +(1) ++123456789", "😀😀 me@x.org 😀 4539578763621486", "1" * 30_000, "a" * 50_000, "a." * 20_000 + "@", "a@" + "b." * 20_000 + "c", "+1" + " (" * 20_000, "9 " * 20_000, "1." * 20_000,
+]
+
+
+def test_odd_and_generated_texts(spark):
+    rng = random.Random(2)
+    texts = ODD + ["".join(rng.choices("aé1290@@..+-() \n", k=rng.randint(1, 80))) for _ in range(300)] + [f"{rng.randrange(10**15, 10**16)} x {rng.randrange(10**11, 10**13)}" for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "a@b.cc")] * 2, "doc_id long, text string").withColumn("rid", F.lit("clash")).withColumn("kind", F.lit(1)).repartition(4)
+    got = pii.digests(df).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        check(r.row.text or "", r)
+    assert pii.digests(df.where("false")).count() == 0
+
+
+def test_patterns_discover_unseen_identifiers(spark):
+    rng = random.Random(7)
+    texts = [f"please write my phone +1 555 {rng.randrange(10**6, 10**7)} today" for _ in range(8)]
+    texts += ["please write my phone 555-0199-77 today", "then 555-0199-77 again", "order number 555-0200-88 today", "my phone rang"]
+    texts += [f"the total of 4539578763621486 and of {rng.randrange(1000)}" for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.row.doc_id: r.spans for r in pii.digests(df).collect()}
+    assert spans[8] == "phone:22:33" and texts[8][22:33] == "555-0199-77"
+    assert spans[9] == "phone:5:16"  # by its score, in another context
+    assert spans[10] == "" and spans[11] == ""
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[8] == "please write my phone <phone> today" and clean[10] == texts[10] and "<phone>" in clean[0]
+
+
+def test_redaction(spark):
+    texts = [None, "x a@b.cc y +1 (523) 555-1055 z", "call +45 3957 8763 6214 86", "none", "😀 1.2.3.4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("start", F.lit("s"))
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    assert [r.text for r in got.orderBy("doc_id").collect()] == [None, "x <email> y <phone> z", "call +<card>", "none", "😀 <ip>"]
+
+
+def test_query(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op1_pii(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(texts)
+    for r in got:
+        check(texts[r.doc_id], r)
