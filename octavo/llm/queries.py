@@ -11,7 +11,7 @@ from . import bpe, exact_dedup, license_scan, packing, pii, quality_rules, shard
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -38,11 +38,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(BYTE_BPE)).withColumnRenamed("id", "doc_id")
+    return bpe.encode(_table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE)).withColumnRenamed("id", "doc_id")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary(WORD_BPE)).withColumnRenamed("id", "doc_id")
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE)).withColumnRenamed("id", "doc_id")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
