@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, packing, pii, quality_rules, sharding, simhash, warc
+from . import bpe, exact_dedup, license_scan, packing, pii, quality_classifier, quality_rules, sharding, simhash, warc
 
 #: Name of a vocabulary file of the installed public tokenizers.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -45,6 +45,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE)).withColumnRenamed("id", "doc_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = quality_classifier.good_labels(_table(spark, sf_dir, "labels"))
+    found = quality_classifier.resample(_table(spark, sf_dir, "documents"), good, columns=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("score", 6).alias("score"), F.round("gumbel_key", 6).alias("gumbel_key"), "kept")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -63,7 +69,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op5_warc": op5_warc, "op6_sharding": op6_sharding, "op7_rules": op7_rules, "op8_simhash": op8_simhash, "op9_license": op9_license, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_sharding": op6_sharding, "op7_rules": op7_rules, "op8_simhash": op8_simhash, "op9_license": op9_license, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op5_warc": r"""
