@@ -36,6 +36,8 @@ CUTOFF, MEDIAN = 80.0, 5.348
 #: Fixed point of the vectors, and the least deviation of a coordinate in those units: ratios of clean texts vary by less only by chance.
 UNIT, FLOOR = 1024, 100
 BUCKETS = 32
+#: Rows of estimates that may be broadcast.
+BROADCAST = 20_000
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -115,8 +117,13 @@ def _triangle(t: DataFrame) -> DataFrame:
     return t
 
 
-def _joined(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
-    return vectors.join(estimate.withColumnRenamed("pool", "p"), F.col("pool") == F.col("p")).drop("p")
+def _sized(small: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows (each of a few hundred bytes at most); else joins shuffle, and AQE splits skewed pools."""
+    return F.broadcast(small) if small.count() <= BROADCAST else small
+
+
+def _joined(vectors: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
+    return vectors.join(_sized(estimate.withColumnRenamed("pool", "p")), F.col("pool") == F.col("p"), how).drop("p")
 
 
 def estimates(vectors: DataFrame, space: Workspace, share: float = SHARE, steps: int = STEPS, smallest: int = SMALLEST) -> DataFrame:
@@ -162,9 +169,9 @@ def judged(df: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "l
     t = statistics(df, text, [packed(df, columns).alias("row"), key(lang, "lang"), key(source, "source")])
     t = space.write(t.select("*", *vector()), "statistics")
     pools = _pools(t, smallest, space)
-    t = t.join(pools, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s"))).drop("l", "s")
+    t = t.join(_sized(pools), (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s"))).drop("l", "s")
     found = estimates(t.select("pool", *[f"x{i}" for i in range(P)]), space, smallest=smallest)
-    out = _distance(t.join(found.withColumnRenamed("pool", "p"), F.col("pool") == F.col("p"), "left"))
+    out = _distance(_joined(t, found, "left"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     d2 = F.col("d2") / F.greatest("scale", F.lit(1.0))
     return out.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), d2.alias("d2"), (~failed & F.coalesce(d2 <= cutoff, F.lit(True))).alias("kept"))
