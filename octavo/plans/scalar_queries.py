@@ -83,7 +83,7 @@ def text_functions(spark, sf_dir):
 
 
 @query("""with c as (select c_custkey, c_acctbal, cast(c_custkey as varchar) || 'x' as p from customer)
-    select c_custkey, c_custkey as i, case when c_custkey = 0 then 0 else 4294967296 - c_custkey end as u, 2147483647::bigint as top, c_custkey + 0.5 as d from c""")
+    select c_custkey, c_custkey as i, case when c_custkey = 0 then 0 else 4294967296 - c_custkey end as u, 2147483647::bigint as top, (c_custkey + 0.5)::double as d from c""")
 def number_parsing(spark, sf_dir):
     """Leading numbers with C's saturation and wrapping."""
     k = F.col("c_custkey").cast("string")

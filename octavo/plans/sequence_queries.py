@@ -64,7 +64,7 @@ def best_ratios(spark, sf_dir):
 
 
 @query(f"""
-    with {SAMPLES} select user_id, i, round(0.5 * v + 0.25 * coalesce(lag(v, 1) over w, 0) - 0.125 * coalesce(lag(v, 2) over w, 0), 6) as y
+    with {SAMPLES} select user_id, i, round(0.5::double * v + 0.25 * coalesce(lag(v, 1) over w, 0) - 0.125 * coalesce(lag(v, 2) over w, 0), 6) as y
     from s window w as (partition by user_id order by i)""")
 def fir_filter(spark, sf_dir):
     t = samples(spark, sf_dir)
