@@ -59,7 +59,10 @@ class Bpe:
         ids = made["model"]["vocab"]
         merges = (m.split(" ") if isinstance(m, str) else m for m in made["model"]["merges"])
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.vocab))
+        self.reach: dict[bytes, int] = {}  # the longest token that begins with two bytes
+        for t in self.vocab:
+            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
+        self.known = units.Memory()
         self.special = regex.compile(b"|".join(map(regex.escape, self.specials))) if self.specials else None
         self.pairs: dict[int, bool] = {}
         # Tables of each token's bytes and decimal digits, for gathering.
@@ -73,9 +76,9 @@ class Bpe:
         return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lens) - lens, lens
 
     def greedy(self, word: bytes) -> list[int]:
-        found, at, n, vocab = [], 0, len(word), self.vocab
+        found, at, n, vocab, reach = [], 0, len(word), self.vocab, self.reach
         while at < n:
-            for to in range(min(n, at + self.longest), at, -1):
+            for to in range(min(n, at + reach.get(word[at : at + 2], 1)), at, -1):
                 if (i := vocab.get(word[at:to])) is not None:
                     found.append(i)
                     at = to
@@ -138,22 +141,27 @@ class Bpe:
             return [w.encode() for w in WORDS.findall(text)]
         return [bytes(self.letters[c] for c in w) for w, _ in self.split(text)]
 
-    def encode_units(self, new: list[bytes]) -> list[np.ndarray]:
+    def encode_units(self, new: list[bytes]) -> list[list[int]]:
         """A unit holds no part of a special token but whole ones; those are ids of their own."""
-        words: list[bytes] = []
-        plan: list[list[int | tuple[int, int]]] = []  # of each unit: special ids, and ranges of words
+        self.known.turn()
+        plan: list[list[bytes | int]] = []  # of each unit: words, and ids of special tokens
         for unit in new:
+            if self.special is None or b"<|" not in unit:
+                plan.append(self.words(unit))
+                continue
             parts, at = [], 0
-            for m in [*(self.special.finditer(unit) if self.special and b"<|" in unit else ()), None]:
-                n = len(words)
-                words += self.words(unit[at : m.start() if m else len(unit)])
-                parts.append((n, len(words)))
-                if m:
-                    parts.append(self.specials[m[0]])
-                    at = m.end()
-            plan.append(parts)
-        ids = self.encode_words(words)
-        return [np.array([i for p in parts for i in ([p] if isinstance(p, int) else (j for w in ids[slice(*p)] for j in w))], np.uint32) for parts in plan]
+            for m in self.special.finditer(unit):
+                parts += [*self.words(unit[at : m.start()]), self.specials[m[0]]]
+                at = m.end()
+            plan.append(parts + self.words(unit[at:]))
+        words = list({w for parts in plan for w in parts if not isinstance(w, int)})
+        ids = dict(zip(words, self.known.look(words), strict=True))
+        fresh = [w for w, x in ids.items() if x is None]
+        for w, x in zip(fresh, self.encode_words(fresh), strict=True):
+            ids[w] = x
+            self.known.keep(w, x)
+        ids |= {i: [i] for i in self.specials.values()}
+        return [ids[p[0]] if len(p) == 1 else [i for w in p for i in ids[w]] for p in plan]
 
     def text(self, ids: np.ndarray) -> np.ndarray:
         return units.ragged(*self.bytes, ids)
@@ -185,7 +193,7 @@ def encode_slice(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     if odd:
         parts = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         for k in odd:
-            parts[k] = made.encode_units([whole[offsets[k] : offsets[k + 1]]])[0]
+            parts[k] = np.array(made.encode_units([whole[offsets[k] : offsets[k + 1]]])[0], np.uint32)
         ids, cuts = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
     return ids, cuts
 

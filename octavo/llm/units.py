@@ -1,6 +1,6 @@
 """Texts of an Arrow batch as units between white space, each distinct unit encoded once.
 
-A unit is a run of non-space bytes, with a single space before it where the tokenizer
+A unit is a run of non-space bytes up to a sign that ends a word, with a single space before it where the tokenizer
 attaches that space, or what else a run of white space holds. Tokenizers never merge
 across units, so a text's ids are those of its units in order. Cutting, dictionary
 encoding and gathering are vectorised; only units not met before reach an encoder.
@@ -16,11 +16,18 @@ import pyarrow as pa
 #: Bytes of text handled at once: bounds a worker's memory whatever the batch holds.
 SLICE = 4 << 20
 #: Distinct units that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
+#: Letters and digits of ASCII, and the signs that end a word after them in every pre-tokenizer here (not the
+#: apostrophe of contractions, nor what special tokens are written with).
+WORD, SIGN, LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+SIGN[list(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~')] = True
+LOWER[65:91] += 32
+
 
 def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of a binary column: first row, bytes, and row offsets from 0 into them; null is empty."""
@@ -52,6 +59,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, attach: bool) -> np.ndarray:
     after = np.empty_like(white)  # the byte before is white space
     after[1:], after[0] = white[:-1], False
     begins = first | (white & ~after)
+    begins[1:] |= SIGN[data[1:]] & WORD[data[:-1]]
     if attach:
         last = np.empty_like(white)  # a non-space byte of the same text follows
         last[:-1], last[-1] = ~white[1:] & ~first[1:], False
@@ -71,15 +79,43 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, take: np.ndar
     return flat[np.repeat(starts[take] - (ends - n), n) + np.arange(ends[-1])]
 
 
+class Memory:
+    """What was made of bytes before: of two generations, so that what is in use outlives a full one."""
+
+    def __init__(self, most: int = REMEMBERED // 2):
+        self.most, self.young, self.old = most, {}, {}
+
+    def look(self, keys: list[bytes]) -> list:
+        """The values, None where unknown."""
+        young, old = self.young, self.old
+        found = list(map(young.get, keys))
+        for i, x in enumerate(found):
+            if x is None and (y := old.get(keys[i])) is not None:
+                found[i] = y
+                if len(keys[i]) <= LONGEST:
+                    young[keys[i]] = y
+        return found
+
+    def keep(self, key: bytes, value) -> None:
+        if len(key) <= LONGEST:
+            self.young[key] = value
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+
 class Codec:
-    """Encodes slices by their distinct units. encode: from new units to the ids of each."""
+    """Encodes slices by their distinct units. encode: from new units to the ids of each. fold: A-Z read as a-z, but where a special token may stand."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], attach: bool):
-        self.encode, self.attach, self.known = encode, attach, {}
+    def __init__(self, encode: Callable[[list[bytes]], list], attach: bool, fold: bool = False):
+        self.encode, self.attach, self.fold, self.known = encode, attach, fold, Memory()
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the texts' offsets into them."""
         begins = cut(data, offsets, self.attach)
+        if self.fold and not ((data[:-1] == 60) & (data[1:] == 124)).any():
+            data = LOWER[data]
         if not len(begins):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if not self.attach:  # a unit takes the white space after it along, so that offsets stay contiguous
@@ -92,16 +128,13 @@ class Codec:
         codes, units = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         if not self.attach:
             units = [u.rstrip(b" \t\n\r\x0b\x0c") for u in units]
-        known = self.known
-        found = [known.get(u) for u in units]
+        self.known.turn()
+        found = self.known.look(units)
         new = [i for i, x in enumerate(found) if x is None]
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
             for i, ids in zip(new, self.encode([units[i] for i in new]), strict=True):
                 found[i] = made = np.asarray(ids, np.uint32).tobytes()
-                if len(units[i]) <= LONGEST:
-                    known[units[i]] = made
+                self.known.keep(units[i], made)
         lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
         ids = ragged(flat, np.cumsum(lens) - lens, lens, codes)
