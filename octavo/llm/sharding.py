@@ -6,7 +6,7 @@ range-partitioned by them, exact sizes of the ranges are summed, and running sum
 ranges and within each range place every record among all bytes. A shard is a stretch of
 total / shards bytes. A group of equal texts goes where its middle lies, as a whole,
 unless it is over 1 / WHOLE of a shard: such overfull stretches are subdivided record by record.
-A splitter hash that the sample holds twice or more splits within its group by id.
+A splitter hash that the sample holds twice or more splits within its group by id (and by row, where ids repeat).
 
 Scale: rows of about 50 bytes, without text, are written once and shuffled twice, into ranges
 of about ROWS rows whatever the hot groups. The driver sees the sample (SAMPLE keys a range),
@@ -19,6 +19,7 @@ order; repeated rows are rows of one group; an empty table gives an empty result
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -50,13 +51,13 @@ def shard(df: DataFrame, shards: int = SHARDS, text: str = "text", id: str = "do
     cuts = _splitters(t, total, ranges)
 
     def place(batches):
-        keys, ids = cuts
+        keys, within = cuts
         for batch in batches:
-            key, own = batch.column("key").to_numpy(), batch.column("order").to_numpy()
+            key, own, rid = (batch.column(c).to_numpy() for c in ("key", "order", "rid"))
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             at = np.where(high - low == 1, high, low)  # a hash cut once: the whole group lies after the cut
             for k in np.flatnonzero(high - low > 1):
-                at[k] = low[k] + np.searchsorted(ids[low[k] : high[k]], own[k], "right")
+                at[k] = bisect_right(within, (own[k], rid[k]), low[k], high[k])
             yield batch.drop_columns(["order"]).append_column("range", pa.array(at.astype(np.int32)))
 
     kinds = "id long, size long, text_crc32 long, key long, rid long"
@@ -81,14 +82,14 @@ def shard(df: DataFrame, shards: int = SHARDS, text: str = "text", id: str = "do
     return t.select("id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _splitters(t: DataFrame, total: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (key, order) of at most ranges - 1 cuts, from a sample of about SAMPLE keys a range: a record is drawn by its row's own hash, with its share of the bytes."""
+def _splitters(t: DataFrame, total: int, ranges: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Sorted keys and (order, rid) of at most ranges - 1 cuts, from a sample of about SAMPLE keys a range: a record is drawn by its row's own hash, with its share of the bytes."""
     chance = F.col("size") / max(1.0, total / (ranges * SAMPLE))
     drawn = (F.pmod(F.xxhash64("rid", "id", "key"), F.lit(1 << 30)) / (1 << 30)) < chance
-    got = t.where(drawn).select("key", _least("id").alias("order")).toPandas().sort_values(["key", "order"])
+    got = t.where(drawn).select("key", _least("id").alias("order"), "rid").toPandas().sort_values(["key", "order", "rid"])
     at = np.unique((np.arange(1, ranges) * len(got)) // ranges)
     got = got.iloc[at[at < len(got)]].drop_duplicates()
-    return got["key"].to_numpy(np.int64), got["order"].to_numpy(np.int64)
+    return got["key"].to_numpy(np.int64), list(zip(got["order"].tolist(), got["rid"].tolist(), strict=True))
 
 
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, text: str = "text", id: str = "doc_id") -> None:
