@@ -43,7 +43,7 @@ def codec(path: str) -> units.Codec:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _codecs[path] = units.Codec(lambda new: [x.ids for x in tokenizer.encode_batch([u.decode() for u in new], add_special_tokens=False)], attach=False)
+        _codecs[path] = units.Codec(lambda new: [x.ids for x in tokenizer.encode_batch([u.decode() for u in new], add_special_tokens=False)], attach=False, fold=True)
     return _codecs[path]
 
 
