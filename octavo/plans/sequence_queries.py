@@ -42,10 +42,10 @@ SQUEEZE = """
     t3 as (select *, case when sg * (y + sg * (y & 1)) > sg * 2 * (avg - n) then 2 * (avg - n) else y end as z from t2)"""
 
 
-@query(f"with {SAMPLES}, {SQUEEZE} select user_id, pos, avg, a - b - case when sg = 0 then 0 else z end as residual from t3")
+@query(f"with {SAMPLES}, {SQUEEZE} select user_id, pos, avg, coalesce(a - b - case when sg = 0 then 0 else z end, 0) as residual from t3")
 def squeeze_pairs(spark, sf_dir):
     """Averages and residuals of neighbours, with the neighbours' tendency taken off."""
-    return sequence.squeeze(samples(spark, sf_dir), ["user_id"], "i", "v").select("user_id", "pos", "avg", "residual")
+    return sequence.squeeze(samples(spark, sf_dir), ["user_id"], "i", "v").select("user_id", "pos", "avg", F.coalesce("residual", F.lit(0)).cast("long").alias("residual"))
 
 
 @query(f"with {SAMPLES} select user_id, i, coalesce(sum(v) over (partition by user_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from s")
@@ -71,11 +71,11 @@ def fir_filter(spark, sf_dir):
     return t.select("user_id", "i", F.round(sequence.fir("v", [0.5, 0.25, -0.125], ["user_id"], "i"), 6).alias("y"))
 
 
-@query(f"with {SAMPLES} select user_id, i // 4 as frame, lag(v, 1) over (partition by user_id, i % 4 order by i // 4) as carry, i from s")
+@query(f"with {SAMPLES} select user_id, i // 4 as frame, lag(v, 1, 0) over (partition by user_id, i % 4 order by i // 4) as carry, i from s")
 def polyphase_carry(spark, sf_dir):
     """Each frame of four sees the last frame's sample of the same phase."""
     t = samples(spark, sf_dir).withColumn("frame", F.floor(F.col("i") / 4)).withColumn("phase", F.col("i") % 4)
-    return t.select("user_id", "frame", F.lag("v").over(Window.partitionBy("user_id", "phase").orderBy("frame")).alias("carry"), "i")
+    return t.select("user_id", "frame", F.lag("v", 1, 0).over(Window.partitionBy("user_id", "phase").orderBy("frame")).alias("carry"), "i")
 
 
 @query(f"""
