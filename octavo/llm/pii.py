@@ -98,12 +98,12 @@ def _uncovered(m: DataFrame) -> DataFrame:
 
 
 def _places(docs: DataFrame, patterns: DataFrame, space: Workspace) -> DataFrame:
-    """ctx, places: how often the two words of each pattern stand before another word."""
+    """ctx, places: how often the two words of each pattern stand before another word. All pairs are counted, per task first, before any join: common words stand before many things."""
     words = F.transform(F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), SPACE), lambda w: F.lower(w))
     t = docs.select(words.alias("words")).where(F.size("words") > 2)
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1)))
     known = space.write(patterns.select("ctx", F.xxhash64(F.split_part("ctx", F.lit(" "), F.lit(1)), F.split_part("ctx", F.lit(" "), F.lit(2))).alias("h")), "supported")
-    counts = t.select(F.explode(pairs).alias("h")).join(known.select("h"), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("places"))
+    counts = t.select(F.explode(pairs).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("places"))
     return space.write(counts.join(known, "h").select("ctx", "places"), "places")
 
 
