@@ -55,7 +55,7 @@ def biquad(df: DataFrame, key: str, order: str, value: str, b: tuple[float, floa
 
 
 def pages(df: DataFrame, key: str, order: str, size: str, granule: str, delay: int) -> DataFrame:
-    """The page of each packet: a page holds 255 lacing values, and closes once it spans `delay`."""
+    """The (first) page of each packet: a page holds 255 lacing values, and closes once it spans `delay`. A packet of more has pages of its own."""
 
     def step(state, _, n, at):
         page, lacing, last, now = state
@@ -63,7 +63,9 @@ def pages(df: DataFrame, key: str, order: str, size: str, granule: str, delay: i
         if lacing and (lacing + need > 255 or at - last > delay):
             page, lacing, last = page + 1, 0, now
         mine, lacing = page, lacing + need
-        if at - last >= delay:
+        if need > 255:
+            page, lacing, last = page + (need + 254) // 255, 0, at
+        elif at - last >= delay:
             page, lacing, last = page + 1, 0, at
         return (page, lacing, last, at), (mine, need)
 

@@ -54,16 +54,18 @@ def image_coefficients(spark, sf_dir):
 
 @query("select conv_id, count(*) as packets, true as ordered from conversations group by conv_id")
 def ogg_round_trip(spark, sf_dir):
-    """Pages of each conversation's turns, parsed again: checksums hold, and all packets are there in order."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode(F.left(F.coalesce("text", F.lit("")), F.lit(2000)), "UTF-8").alias("packet")).withColumn("granule", F.col("turn") * 960)
+    """Pages of each conversation's turns, parsed again: checksums hold, and all packets are there in order, byte for byte."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("packet")).withColumn("granule", F.col("turn") * 960)
     of = folds.pages(t.withColumn("size", F.octet_length("packet").cast("long")), "conv_id", "turn", "size", "granule", delay=1 << 40)
     pages = ogg.paged(t.join(of.select("conv_id", "turn", "page"), ["conv_id", "turn"]), "conv_id", "turn", "page", "packet", "granule")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [ogg.parse(bytes(x))[0] for x in pdf.sort_values("page")["bytes"]]
-        return pd.DataFrame([(pdf["stream"].iloc[0], sum(len(p[3]) for p in found), [p[1] for p in found] == list(range(len(found))))], columns=["conv_id", "packets", "ordered"])
+    def run(pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        found = ogg.parse(b"".join(bytes(x) for x in pdf.sort_values("page")["bytes"]))
+        packets = [x for p in found for x in p[3]]
+        same = [p[1] for p in found] == list(range(len(found))) and packets == [bytes(x) for x in given.sort_values("turn")["packet"]]
+        return pd.DataFrame([(given["conv_id"].iloc[0], len(packets), same)], columns=["conv_id", "packets", "ordered"])
 
-    return pages.groupBy("stream").applyInPandas(run, "conv_id long, packets long, ordered boolean")
+    return pages.groupBy("stream").cogroup(t.groupBy("conv_id")).applyInPandas(run, "conv_id long, packets long, ordered boolean")
 
 
 @query("""
