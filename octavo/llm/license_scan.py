@@ -33,14 +33,17 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 #: Licences: label, keyword (a word each of its rules holds), names as words, versions (empty: unversioned).
 LICENSES = [
-    ("apache", "apache", ["apache", "apache software"], ["1 0", "1 1", "2 0", "2"]),
+    ("apache", "apache", ["apache", "apache software"], ["", "1 0", "1 1", "2 0", "2"]),
     ("mit", "mit", ["mit", "mit x11", "massachusetts institute of technology mit"], [""]),
     ("bsd", "bsd", ["bsd", "new bsd", "modified bsd", "simplified bsd", "original bsd", "freebsd bsd", "bsd style"], ["", "2 clause", "3 clause", "4 clause"]),
     ("isc", "isc", ["isc", "internet systems consortium isc"], [""]),
     ("gpl", "gpl", ["gpl", "gnu gpl"], ["", "1", "2", "3", "1 0", "2 0", "3 0"]),
     ("lgpl", "lgpl", ["lgpl", "gnu lgpl"], ["", "2", "3", "2 0", "2 1", "3 0"]),
     ("agpl", "agpl", ["agpl", "gnu agpl"], ["", "3", "3 0"]),
-    ("gpl", "general", ["gnu general public", "gnu lesser general public", "gnu library general public", "gnu affero general public"], ["", "1", "2", "2 1", "3"]),
+    ("gpl", "general", ["gnu general public"], ["", "1", "2", "2 1", "3"]),
+    ("lgpl", "lesser", ["gnu lesser general public", "lesser general public"], ["", "2 1", "3", "3 0"]),
+    ("lgpl", "library", ["gnu library general public", "library general public"], ["", "2", "2 0"]),
+    ("agpl", "affero", ["gnu affero general public", "affero general public"], ["", "3", "3 0"]),
     ("mpl", "mozilla", ["mozilla public"], ["", "1 0", "1 1", "2 0"]),
     ("mpl", "mpl", ["mpl"], ["", "1 0", "1 1", "2 0"]),
     ("epl", "eclipse", ["eclipse public"], ["", "1 0", "2 0"]),
@@ -94,6 +97,13 @@ SINGLE = [
     ("license-notice", "terms", r"terms and conditions (?:apply|of use)", 25, 0.4),
 ]
 
+#: Names joined with their versions, as single words: label, keyword, names. The further numbers of a version may follow as words.
+JOINED = [
+    *[(name, f"{name}{v}", [f"{name}{v}", f"gnu {name}{v}"]) for name, majors in (("gpl", "123"), ("lgpl", "23"), ("agpl", "3")) for n in majors for v in (f"v{n}", n)],
+    *[("apache", w, [w]) for w in ("apachev2", "apache2", "asl2")],
+    ("mpl", "mplv2", ["mplv2"]), ("mpl", "mpl2", ["mpl2"]), ("epl", "eplv2", ["eplv2"]), ("epl", "epl2", ["epl2"]),
+]
+
 RULE = "rule int, keyword string, label string, pattern string, priority int, confidence double"
 
 
@@ -110,6 +120,11 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
                     made.append((keyword, label, wording.replace("{n}", words).replace("(?: {v})?", "").replace(" ?{v}", ""), priority, confidence))
             if len(words) > 3 or " " in words:
                 made.append((keyword, label, f"{words}(?: v)? (?:{exact})" if exact else words, 15 if exact else 10, 0.5))
+    for label, keyword, names in JOINED:
+        for words in names:
+            for wording, priority, confidence in WORDINGS:
+                made.append((keyword, label, wording.replace("{n}", f"{words}(?: [0-9])?").replace("(?: {v})?", "").replace(" ?{v}", ""), priority + 5, confidence))
+            made.append((keyword, label, f"{words}(?: [0-9])?", 15, 0.5))
     made += SINGLE_AS_RULES
     return [(i, k, label, rf"(?i)(?<= )(?:{p})(?= )", priority, c) for i, (k, label, p, priority, c) in enumerate(made)]
 
