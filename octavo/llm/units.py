@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once: bounds a worker's memory whatever the batch holds.
-SLICE = 4 << 20
-#: Distinct units that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 600_000, 64
+SLICE = 1 << 20
+#: Bytes of what a worker remembers, with what Python adds to each entry, and the longest unit remembered.
+REMEMBERED, ENTRY, LONGEST = 80 << 20, 130, 64
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -83,7 +83,7 @@ class Memory:
     """What was made of bytes before: of two generations, so that what is in use outlives a full one."""
 
     def __init__(self, most: int = REMEMBERED // 2):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.young, self.old, self.size = most, {}, {}, 0
 
     def look(self, keys: list[bytes]) -> list:
         """The values, None where unknown."""
@@ -92,17 +92,17 @@ class Memory:
         for i, x in enumerate(found):
             if x is None and (y := old.get(keys[i])) is not None:
                 found[i] = y
-                if len(keys[i]) <= LONGEST:
-                    young[keys[i]] = y
+                self.keep(keys[i], y)
         return found
 
     def keep(self, key: bytes, value) -> None:
         if len(key) <= LONGEST:
             self.young[key] = value
+            self.size += ENTRY + len(key) + len(value) * (1 if isinstance(value, bytes) else 8)
 
     def turn(self) -> None:
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
+        if self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
 
 
 class Codec:
