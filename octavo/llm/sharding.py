@@ -6,13 +6,14 @@ range-partitioned by them, exact sizes of the ranges are summed, and running sum
 ranges and within each range place every record among all bytes. A shard is a stretch of
 total / shards bytes. A group of equal texts goes where its middle lies, as a whole,
 unless it is over 1 / WHOLE of a shard: such overfull stretches are subdivided record by record.
-A splitter hash that the sample holds twice or more splits within its group by id (and by row, where ids repeat).
+A splitter hash that the sample holds twice or more splits within its group by id (and by row, where ids repeat); the sums of such
+a group are taken over all its ranges before it is placed.
 
 Scale: rows of about 50 bytes, without text, are written once and shuffled twice, into ranges
 of about ROWS rows whatever the hot groups. The driver sees the sample (SAMPLE keys a range),
 and one row a range and shard: at most MOST ranges.
 
-Defined cases: a null text counts 8 bytes and equals the empty text; null ids come first in
+Defined cases: a text of any length is one record, whose bytes alone count; a null text counts 8 bytes and equals the empty text; null ids come first in
 order; repeated rows are rows of one group; an empty table gives an empty result; clashing columns are not read.
 """
 
@@ -72,8 +73,15 @@ def shard(df: DataFrame, shards: int = SHARDS, text: str = "text", id: str = "do
     before = pd.DataFrame({"r": sums["range"].astype("int32"), "b0": (sums.b.cumsum() - sums.b).astype("int64"), "r0": (sums.c.cumsum() - sums.c).astype("int64")})
     before = spark.createDataFrame(before, "r int, b0 long, r0 long")
     t = placed.join(F.broadcast(before), F.col("range") == F.col("r"))
+    t = t.withColumn("group_from", F.col("b0") + F.col("group_from")).withColumn("group_to", F.col("b0") + F.col("group_to"))
+    hot = sorted({int(a) for a, b in zip(cuts[0], cuts[0][1:], strict=False) if a == b})  # groups that lie in several ranges: fewer than there are cuts
+    if hot:
+        own = F.broadcast(spark.createDataFrame([(k,) for k in hot], "k long"))
+        whole = t.join(own, F.col("key") == F.col("k"), "left_semi").groupBy("key").agg(F.min("group_from").alias("f"), F.max("group_to").alias("g"))
+        t = t.join(F.broadcast(whole.withColumnRenamed("key", "k")), F.col("key") == F.col("k"), "left")
+        t = t.withColumn("group_from", F.coalesce("f", "group_from")).withColumn("group_to", F.coalesce("g", "group_to"))
     split = (F.col("group_to") - F.col("group_from")) > F.lit(total // (shards * WHOLE))
-    middle = F.when(split, 2 * F.col("bytes") + F.col("size")).otherwise(F.col("group_from") + F.col("group_to")) + 2 * F.col("b0")
+    middle = F.when(split, 2 * (F.col("b0") + F.col("bytes")) + F.col("size")).otherwise(F.col("group_from") + F.col("group_to"))
     wide = "decimal(38,0)"
     t = t.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle.cast(wide) * shards / F.lit(2 * max(1, total)).cast(wide))).cast("int")).withColumn("rank", F.col("rows") + F.col("r0"))
     first = t.groupBy("shard").agg(F.min("rank").alias("first")).withColumnRenamed("shard", "s").collect()  # a row a shard
