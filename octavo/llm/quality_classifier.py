@@ -4,17 +4,17 @@ Two generative models over hashed n-grams (words and pairs of neighbours, in BUC
 smoothing, and the target's, from documents labelled good, mixed with the raw one (an n-gram that the target lacks is
 evidence of log(1 - MIX), however rare it is: languages with few labels don't lose by that). A document's log importance weight is the sum over its n-grams of
 log p_target - log p_raw. Gumbel top-k draws k documents without replacement in proportion to the
-weights: a document's key is its weight plus Gumbel noise, which comes from a hash of its id and the seed, and the k
+weights: a document's key is its weight plus Gumbel noise, which comes from a hash of its id, its text, its number among rows equal in both, and the seed (so the draw doesn't depend on partitions), and the k
 largest keys are kept. k is SHARE of the documents.
 
-The weight is divided by the number of n-grams plus PRIOR and multiplied by LENGTH, as if all documents were of that length:
-otherwise long documents win or lose by length alone, and a few words decide short ones.
+With `length` the weight is divided by the number of n-grams plus PRIOR and multiplied by that length, as if all documents were of it:
+then long documents don't win or lose by length alone, and a few words don't decide short ones.
 
 Scale: raw counts are of all documents, summed per task before one small shuffle. The target takes at most LABELLED labelled
 documents, chosen by a hash. Models are arrays of BUCKETS doubles. The k-th key is found by
 radix selection on 16-bit digits: counts only, no sort, no limit; ties are broken by a further hash.
 
-Defined cases: null and blank texts have weight 0; labels without a document or without a
+Defined cases: a text of any length is counted whole, in the memory of a few dozen bytes a word of the longest; null and blank texts have weight 0; labels without a document or without a
 quality are ignored, and of a document's several labels the best counts; without labels all weights are 0 and the draw is uniform; repeated rows
 are drawn apart; an empty table gives an empty result; other columns stay in `row`.
 """
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import units
@@ -80,7 +80,7 @@ def model(df: DataFrame, text: str = "text", buckets: int = BUCKETS, smoothing:
 
 def weights(df: DataFrame, ratio: np.ndarray, text: str = "text", id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """row, id, n_grams, log_weight (summed over the n-grams)."""
-    given = df.select(packed(df, columns).alias("row"), name(id).alias("id"), name(text).cast("binary").alias("data"))
+    given = df.select(packed(df, columns).alias("row"), name(id).alias("id"), name(text).cast("binary").alias("data"), F.xxhash64(name(text).cast("string")).alias("hash"))
 
     def run(batches):
         for batch in batches:
@@ -88,10 +88,26 @@ def weights(df: DataFrame, ratio: np.ndarray, text: str = "text", id: str = "doc
                 n = len(offsets) - 1
                 bucket, of = _grams.buckets(data, offsets, len(ratio))
                 size, total = np.bincount(of, minlength=n), np.bincount(of, ratio[bucket], n)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, n), batch.column("id").slice(at, n), pa.array(size.astype(np.int64)), pa.array(total)], ["row", "id", "n_grams", "log_weight"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, n), batch.column("id").slice(at, n), batch.column("hash").slice(at, n), pa.array(size.astype(np.int64)), pa.array(total)], ["row", "id", "hash", "n_grams", "log_weight"])
 
     kind = {f.name: f.dataType.simpleString() for f in given.schema}
-    return given.mapInArrow(run, f"row {kind['row']}, id {kind['id']}, n_grams long, log_weight double")
+    return given.mapInArrow(run, f"row {kind['row']}, id {kind['id']}, hash long, n_grams long, log_weight double")
+
+
+def numbered(t: DataFrame, space: Workspace, salts: int = 64) -> DataFrame:
+    """Adds nth: 0, 1, ... among the rows of equal id and hash, whatever the partitions. Only rows that repeat are shuffled, each group in `salts` parts."""
+    same = space.write(t.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("i"), F.col("hash").alias("h")), "repeated")
+    if same.isEmpty():
+        return t.withColumn("nth", F.lit(0).cast("long"))
+    d = t.join(same, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))).select("rid", "id", "hash", F.pmod(F.xxhash64("rid"), F.lit(salts)).alias("salt"))
+    own = Window.partitionBy("id", "hash", "salt")
+    d = d.withColumn("nth", F.row_number().over(own.orderBy("rid")) - 1)
+    parts = d.groupBy("id", "hash", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("id", "hash").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("id").alias("i"), F.col("hash").alias("h"), F.col("salt").alias("s"), F.coalesce(before, F.lit(0)).alias("before"))
+    d = d.join(parts, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s")))
+    d = space.write(d.select(F.col("rid").alias("r"), (F.col("nth") + F.col("before")).cast("long").alias("nth")), "numbers")
+    return t.join(d, F.col("rid") == F.col("r"), "left").drop("r").withColumn("nth", F.coalesce("nth", F.lit(0)))
 
 
 def top_k(t: DataFrame, key: str, k: int) -> DataFrame:
@@ -120,18 +136,21 @@ def ordered(x):
     return F.round(x * (1 << 20)).cast("long")
 
 
-def resample(df: DataFrame, good: DataFrame, text: str = "text", id: str = "doc_id", share: float = SHARE, columns: list[str] | None = None, labelled: int = LABELLED, seed: int = SEED) -> DataFrame:
-    """good: ids of the target's documents. One row per input row: row, n_grams, log_weight, score, gumbel_key, kept (drawn)."""
+def resample(
+    df: DataFrame, good: DataFrame, text: str = "text", id: str = "doc_id", share: float = SHARE, columns: list[str] | None = None, labelled: int = LABELLED, seed: int = SEED, length: float | None = LENGTH
+) -> DataFrame:
+    """good: ids of the target's documents. One row per input row: row, n_grams, log_weight (the log importance ratio), score (what is drawn by), gumbel_key, kept (drawn)."""
     space = Workspace(df.sparkSession)
     chosen = good.select(name(id).alias("_g")).where("_g is not null").distinct().withColumn("_o", F.xxhash64("_g", F.lit(seed))).orderBy("_o", "_g").limit(labelled).select("_g")
-    target = df.select(name(id).alias("_i"), name(text).alias("_t")).join(chosen, F.col("_i") == F.col("_g"), "left_semi")
+    target = df.select(name(id).alias("_i"), name(text).alias("_t")).join(F.broadcast(chosen), F.col("_i") == F.col("_g"), "left_semi")  # at most LABELLED ids
     known, raw = model(target, "_t"), model(df, text)
     ratio = np.log(MIX * np.exp(known - raw) + 1 - MIX) if (known != known[0]).any() else np.zeros(BUCKETS)
     t = space.write(weights(df, ratio, text, id, columns).withColumn("rid", F.monotonically_increasing_id()), "weights")
-    score = F.col("log_weight") / (F.col("n_grams") + PRIOR) * LENGTH
-    uniform = (F.shiftrightunsigned(F.xxhash64("id", "rid", F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    t = numbered(t, space)
+    score = F.col("log_weight") if length is None else F.col("log_weight") / (F.col("n_grams") + PRIOR) * length
+    uniform = (F.shiftrightunsigned(F.xxhash64("id", "hash", "nth", F.lit(seed)), 11) + 0.5) / float(1 << 53)
     t = t.withColumn("score", score).withColumn("gumbel_key", F.col("score") - F.log(-F.log(uniform)))
-    t = t.withColumn("_k", F.shiftleft(ordered(F.col("gumbel_key")), 20).bitwiseOR(F.shiftrightunsigned(F.xxhash64("rid"), 44)))
+    t = t.withColumn("_k", F.shiftleft(ordered(F.col("gumbel_key")), 20).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id", "hash", "nth"), 44)))
     t = space.write(t, "keys")
     n = t.count()
     return top_k(t, "_k", round(share * n)).select("row", "n_grams", "log_weight", "score", "gumbel_key", "kept")
