@@ -6,8 +6,8 @@ payloads (SHA-256 and length) one is the response, that of the largest page id;
 Spark's text sink writes the members through its commit protocol to any file system; the
 line separator is an empty gzip member, so each part is a valid multi-member .warc.gz.
 
-Reading: parts are read whole as binary files (their size is bounded by `RECORDS`), cut into members,
-and parsed by Content-Length.
+Reading: parts are read whole as binary files, cut into members, and parsed by Content-Length. A part holds at most
+PART bytes before compression, or one record: captures are written by size class, so many records to a part as its class allows.
 
 Assembly: request, response and metadata records are joined through their concurrent-to
 identifiers, by one aggregation on the capture's id; a revisit then finds its response by id.
@@ -16,7 +16,7 @@ Scale: pages are staged once; payloads are not shuffled unless the payloads that
 many to broadcast (Spark decides by size, with AQE's split of skewed joins beyond). A capture has at most a
 few records, whatever repeats. Reading and writing hold one part, or one record, at a time.
 
-Defined cases: a null payload is empty; null page ids lose against any other (refers_to is null then);
+Defined cases: a payload of any length that a row can hold is one record, in a part of its own from PART / 4 bytes on; a null payload is empty; null page ids lose against any other (refers_to is null then);
 of rows with equal payload and page id one is the response; an empty table gives an empty
 result; other columns are not written.
 """
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, name
 
-RECORDS = 15_000
+#: Bytes of a part before compression, the bound of the least size class, the factor between classes, and what a record's headers take beside its uri.
+PART, CLASS, FACTOR, HEADERS = 64 << 20, 4096, 4, 1024
 LEAST = 0
 LEVEL = 1
 SPACE = uuid.UUID("5f0c2d0e-7f0b-4f0e-9c55-6a3c1d8f2b11")
@@ -99,7 +101,7 @@ def line_safe(uri: str | None) -> str:
     return "".join(uri.split()) if uri else "about:blank"
 
 
-def write(pages: DataFrame, path: str, space: Workspace, payload: str = "html", id: str = "page_id", url: str = "url", least: int = LEAST, records: int = RECORDS) -> None:
+def write(pages: DataFrame, path: str, space: Workspace, payload: str = "html", id: str = "page_id", url: str = "url", least: int = LEAST, part: int = PART) -> None:
     """Writes archives below path."""
     uri = name(url).cast("string") if url in pages.columns else F.lit(None).cast("string")
     t = pages.select(name(id).cast("long").alias("page_id"), uri.alias("url"), F.coalesce(name(payload).cast("binary"), F.lit(b"")).alias("payload"))
@@ -126,8 +128,12 @@ def write(pages: DataFrame, path: str, space: Workspace, payload: str = "html",
                 made.append(member(record("metadata", urn("metadata", rid), uri, fields, {"WARC-Concurrent-To": own, "Content-Type": "application/warc-fields"})))
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
-    lines = t.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", BETWEEN.decode("iso-8859-1")).option("encoding", "iso-8859-1").option("maxRecordsPerFile", records).text(path)
+    size = F.octet_length("payload") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + HEADERS
+    of = F.greatest(F.lit(0), F.ceil(F.log(size / CLASS) / math.log(FACTOR))).cast("int")
+    for at in sorted(r.c for r in t.select(of.alias("c")).distinct().collect()) or [0]:  # a payload has at most 2 GB: ten classes
+        lines = t.where(of == at).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+        records = max(1, part // (CLASS * FACTOR**at))
+        lines.write.mode("append").option("lineSep", BETWEEN.decode("iso-8859-1")).option("encoding", "iso-8859-1").option("maxRecordsPerFile", records).text(path)
 
 
 def read(spark, path: str, payloads: bool = True) -> DataFrame:

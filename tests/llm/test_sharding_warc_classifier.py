@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -106,3 +107,67 @@ def test_classifier_edge_cases(spark):
     assert quality_classifier.resample(df.where("false"), none).count() == 0
     again = quality_classifier.resample(df, df.select("doc_id").where("doc_id = 1"), share=1.0).collect()
     assert all(r.kept for r in again)
+
+
+def test_small_groups_stay_whole_in_many_ranges(spark):
+    rng = random.Random(4)
+    texts = [f"{k:04d}" + "x" * 90 for k in range(455) for _ in range(12)] + ["y" * 2_000_000]
+    rng.shuffle(texts)
+    for size in (5, 50_000):
+        rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), rows=size).collect()
+        where = defaultdict(set)
+        for r in rows:
+            where[r.text_crc32].add(r.shard)
+        assert len(rows) == len(texts) and all(len(x) == 1 for x in where.values())
+        for s in {r.shard for r in rows}:
+            assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_parts_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    pages = [(i, "http://x", rng.randbytes(rng.choice([100, 5_000, 60_000])).hex()) for i in range(300)] + [(999, "u", rng.randbytes(400_000).hex())]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    warc.write(df, f"file://{tmp_path}/w", Workspace(spark), part=1 << 20)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) <= 1 << 20 and len(sizes) < len(pages)
+    got = warc.assemble(warc.read(spark, f"file://{tmp_path}/w")).collect()
+    assert {(r.metadata.page_id, bytes(r.response.payload).decode()) for r in got} == {(i, t) for i, _, t in pages}
+
+
+def brute_weights(docs, good):
+    """By dictionaries: n-grams are (word,) and pairs; words as the operator cuts them. Buckets are its own."""
+    import numpy as np
+
+    n = quality_classifier.BUCKETS
+    def grams(t):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        return quality_classifier.Grams().buckets(raw, np.array([0, len(raw)]), n)[0].tolist()
+    own = {i: grams(t) for i, t in docs}
+    count = lambda ids: Counter(g for i in ids for g in own[i])
+    raw, target = count(own), count(good)
+    s, mix = quality_classifier.SMOOTHING, quality_classifier.MIX
+    a, b = sum(raw.values()) + s * n, sum(target.values()) + s * n
+    ratio = lambda g: math.log(mix * ((target[g] + s) / b) / ((raw[g] + s) / a) + 1 - mix)
+    return {i: (len(g), sum(map(ratio, g))) for i, g in own.items()}
+
+
+def test_weights_and_draw_against_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    good = [i for i, _ in docs][:60]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    chosen = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    got = quality_classifier.resample(df, chosen, columns=["doc_id"], length=None).collect()
+    want = brute_weights(docs, good)
+    assert all(r.n_grams == want[r.row.doc_id][0] and abs(r.log_weight - want[r.row.doc_id][1]) < 1e-6 * (1 + abs(r.log_weight)) and r.score == r.log_weight for r in got)
+    kept = sorted((r.gumbel_key for r in got), reverse=True)[: round(quality_classifier.SHARE * len(docs))]
+    assert {r.row.doc_id for r in got if r.kept} == {r.row.doc_id for r in got if r.gumbel_key >= kept[-1]}
+    noise = [r.gumbel_key - r.score for r in got]
+    assert abs(sum(noise) / len(noise) - 0.5772) < 0.4
+
+
+def test_draw_does_not_depend_on_partitions(spark):
+    rows = [(i % 50, f"word{i % 7} other") for i in range(400)] + [(None, "same")] * 90
+    df, good = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,), (2,)], "doc_id long")
+    drawn = lambda d: Counter((r.row.doc_id, r.row.text) for r in quality_classifier.resample(d, good, share=0.5).where("kept").collect())
+    first = drawn(df)
+    assert sum(first.values()) == 245 and first == drawn(df.repartition(7)) == drawn(df.orderBy("text").coalesce(1))
