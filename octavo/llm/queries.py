@@ -34,7 +34,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.digests(_table(spark, sf_dir, "documents"), columns=["doc_id"])
-    return found.select(F.col("row.doc_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "secrets", "n_spans")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
