@@ -156,7 +156,7 @@ def _places(docs: DataFrame, patterns: DataFrame, space: Workspace) -> DataFrame
     t = docs.select(words.alias("words")).where(F.size("words") > 2)
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1)))
     held = lambda h: F.getbit(F.get(bits, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(longs - 1)).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
-    counts = t.select(F.explode(F.filter(pairs, held)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("places"))
+    counts = t.select(F.explode(pairs).alias("h")).where(held(F.col("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("places"))
     return space.write(counts.join(known, "h").select("ctx", "places"), "places")
 
 
