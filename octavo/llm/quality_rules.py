@@ -1,41 +1,45 @@
 """Quality rules: base rules, and robust multivariate outliers by minimum covariance determinant.
 
 Statistics of each whole text come from string and array functions alone. Six of them,
-as transformed ratios in fixed point, form a vector. Per language and source, MCD
-estimates a centre and a covariance: from the median and MAD, concentration steps
-keep the SHARE of vectors with the smallest Mahalanobis distance and take their
-mean and covariance again. What lies beyond CUTOFF (squared distance, scaled so that the
-group's median distance is that of a normal sample) is rejected.
+as transformed ratios in fixed point, form a vector. Per language and source, MCD looks for the half of the
+vectors whose covariance has the least determinant: from three starts (median and MAD; the covariance of spatial signs; that of
+tanh scores), concentration steps keep the SHARE of vectors with the smallest Mahalanobis distance and take their
+mean and covariance again; of the starts that with the least determinant goes on until two more steps are done. Distances are made
+consistent with a normal sample by CONSISTENCY. A pool's cutoff comes from its own distances: cube roots of chi-square
+values are nearly normal (Wilson and Hilferty), so the median and the lower quartile of the cube roots, which
+outliers reach last, give a centre and a deviation, and what lies DEVIATIONS beyond is rejected (never below
+LEAST_CUTOFF, which one normal row in a million passes).
 
 All native: no Python runs on the executors. Scale: texts are read once; steps read the
 written vectors only. A step is one aggregation with map-side partial sums by
 group and distance bucket (at most a few hundred a group), so a group with a third of all
 rows is a few hundred rows a task, and estimates are a row a group. Sums are of integers:
-results don't depend on the order of rows. The subset is whole buckets of distance: the first that reach SHARE.
+results don't depend on the order of rows. The subset is whole buckets of distance (3 % wide): the first that reach SHARE.
 
 Groups under SMALLEST rows are pooled by language, then all together; a pool under
 SMALLEST gives no verdict (kept unless a base rule fails).
 
-Defined cases: a null text has no words (base_failed); a null language or source is a
+Defined cases: a null text has no words (base_failed); a text of any length is read whole, within the memory of a few copies of it; a null language or source is a
 group of its own; repeated rows count each time; empty tables give an empty result; the input's columns stay in the struct `row`.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, Workspace, name, packed, text_of
 
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
-SHARE, STEPS, SMALLEST = 0.75, 3, 50
-#: Squared distance beyond which a vector is rejected, and the median of chi-square with six degrees of freedom.
-CUTOFF, MEDIAN = 80.0, 5.348
+SHARE, STEPS, MORE_STEPS, STARTS, SMALLEST = 0.5, 3, 2, 3, 50
+#: Of a normal sample's half with the least distances in six dimensions, the covariance is the sample's divided by this: SHARE over the chi-square distribution with eight degrees of freedom at the median of that with six.
+CONSISTENCY = 1.785
+DEVIATIONS, QUARTILE, LEAST_CUTOFF = 5.0, 0.6745, 38.26
 #: Fixed point of the vectors, and the least deviation of a coordinate in those units: ratios of clean texts vary by less only by chance.
 UNIT, FLOOR = 1024, 100
 BUCKETS = 32
+#: Fixed point of products of scores, which are at most 1.
+FINE = 1 << 20
 #: Rows of estimates that may be broadcast.
 BROADCAST = 20_000
 WHITE = " \t\n\x0b\x0c\r"
@@ -84,8 +88,9 @@ def statistics(df: DataFrame, text: str = "text", keep: list[Column] = ()) -> Da
     )
 
 
-#: Coordinates of a vector.
+#: Coordinates of a vector, and the names of what is kept by coordinate or by pair of them.
 P = 6
+XS, MEANS, PAIRS = [f"x{i}" for i in range(P)], [f"m{i}" for i in range(P)], [(i, j) for i in range(P) for j in range(i + 1)]
 
 
 def vector() -> list[Column]:
@@ -98,23 +103,17 @@ def vector() -> list[Column]:
 
 def _distance(t: DataFrame) -> DataFrame:
     """Adds d2 from x0.., m0.. and the lower triangle l_i_j."""
-    for i in range(P):
-        rest = reduce(lambda a, b: a - b, [F.col(f"l_{i}_{k}") * F.col(f"z{k}") for k in range(i)], F.col(f"x{i}") - F.col(f"m{i}"))
-        t = t.withColumn(f"z{i}", rest / F.col(f"l_{i}_{i}"))
-    return t.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)]))
-
-
-def _bucket() -> Column:
-    return F.floor(F.log1p("d2") * BUCKETS).cast("int")
+    z = [f"(x{i} - m{i}{''.join(f' - l_{i}_{k} * z{k}' for k in range(i))}) / l_{i}_{i} as z{i}" for i in range(P)]
+    return t.selectExpr("*", *z, " + ".join(f"z{i} * z{i}" for i in range(P)) + " as d2")
 
 
-def _triangle(t: DataFrame) -> DataFrame:
-    """Cholesky's factor of the covariance v_i_j, with FLOOR squared on the diagonal."""
-    for i in range(P):
-        for j in range(i + 1):
-            rest = reduce(lambda a, b: a - b, [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)], F.col(f"v_{i}_{j}") + (FLOOR**2 if i == j else 0))
-            t = t.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return t
+def _triangle(t: DataFrame, kept: list[str]) -> DataFrame:
+    """kept, and Cholesky's factor of the covariance v_i_j, with FLOOR squared on the diagonal."""
+    made = []
+    for i, j in PAIRS:
+        rest = f"v_{i}_{j}{f' + {FLOOR**2}' if i == j else ''}" + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+        made.append(f"sqrt(greatest({rest}, 1d)) as l_{i}_{j}" if i == j else f"({rest}) / l_{j}_{j} as l_{i}_{j}")
+    return t.selectExpr(*kept, *MEANS, *made)
 
 
 def _sized(small: DataFrame) -> DataFrame:
@@ -126,30 +125,56 @@ def _joined(vectors: DataFrame, estimate: DataFrame, how: str = "inner") -> Data
     return vectors.join(_sized(estimate.withColumnRenamed("pool", "p")), F.col("pool") == F.col("p"), how).drop("p")
 
 
-def estimates(vectors: DataFrame, space: Workspace, share: float = SHARE, steps: int = STEPS, smallest: int = SMALLEST) -> DataFrame:
-    """From (pool, x0..): a row a pool of at least `smallest` rows with m0.., l_i_j, and scale of the squared distances."""
-    xs, pairs = [f"x{i}" for i in range(P)], [(i, j) for i in range(P) for j in range(i + 1)]
-    middle = vectors.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), *[F.median(x).alias(f"m{i}") for i, x in enumerate(xs)]).where(F.col("n") >= smallest)
+def _starts(vectors: DataFrame, space: Workspace, smallest: int) -> DataFrame:
+    """pool, start, MEANS, the triangle: three starts a pool."""
+    middle = vectors.groupBy("pool").agg(F.expr("count(1) as n"), *[F.expr(f"median({x}) as m{i}") for i, x in enumerate(XS)]).where(f"n >= {smallest}")
     middle = space.write(middle.drop("n"), "medians")
-    spread = _joined(vectors, middle).groupBy("pool").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.pow(1.4826 * F.median(F.abs(F.col(x) - F.col(f"m{i}"))), 2).alias(f"v_{i}_{i}") for i, x in enumerate(xs)])
-    for i, j in pairs:
-        if i != j:
-            spread = spread.withColumn(f"v_{i}_{j}", F.lit(0.0))
-    now = space.write(_triangle(spread).select("pool", *[f"m{i}" for i in range(P)], *[f"l_{i}_{j}" for i, j in pairs]), "start")
-    for step in range(steps + 1):
-        last = step == steps
-        t = _distance(_joined(vectors, now)).withColumn("bucket", _bucket())
-        sums = [] if last else [F.sum(x).alias(f"s_{x}") for x in xs] + [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"q_{i}_{j}") for i, j in pairs]
-        t = t.groupBy("pool", "bucket").agg(F.count(F.lit(1)).alias("n"), *sums)
-        t = space.write(t, "buckets")
-        before = "coalesce(sum(n) over (partition by pool order by bucket rows between unbounded preceding and 1 preceding), 0)"
-        t = t.withColumn("before", F.expr(before)).withColumn("all", F.expr("sum(n) over (partition by pool)"))
-        if last:  # the bucket that holds the median distance
-            t = t.where("before * 2 < all").groupBy("pool").agg(((F.exp((F.max("bucket") + 0.5) / BUCKETS) - 1) / MEDIAN).alias("scale"))
-            return space.write(now.join(t.withColumnRenamed("pool", "p"), F.col("pool") == F.col("p")).drop("p"), "estimates")
-        t = t.where(F.col("before") < F.ceil(F.col("all") * share)).groupBy("pool").agg(F.sum("n").alias("n"), *[F.sum(f"s_{x}").alias(f"s_{x}") for x in xs], *[F.sum(f"q_{i}_{j}").alias(f"q_{i}_{j}") for i, j in pairs])
-        t = t.select("pool", *[(F.col(f"s_x{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[(F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"s_x{i}") / F.col("n") * (F.col(f"s_x{j}") / F.col("n"))).alias(f"v_{i}_{j}") for i, j in pairs])
-        now = space.write(_triangle(t).select("pool", *[f"m{i}" for i in range(P)], *[f"l_{i}_{j}" for i, j in pairs]), "step")
+    spread = _joined(vectors, middle).groupBy("pool").agg(*[F.expr(f"first({m}) as {m}") for m in MEANS], *[F.expr(f"greatest({FLOOR}d, 1.4826 * median(abs({x} - m{i}))) as s{i}") for i, x in enumerate(XS)])
+    spread = space.write(spread, "deviations")
+    t = _joined(vectors, spread).selectExpr("pool", *[f"({x} - m{i}) / s{i} as z{i}" for i, x in enumerate(XS)])
+    t = t.selectExpr("*", "sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(P)) + ") as far")
+    t = t.selectExpr("pool", *[f"if(far > 0, z{i} / far, 0d) as a{i}" for i in range(P)], *[f"tanh(z{i}) as b{i}" for i in range(P)])
+    fine = "sum(cast(round({0}{1} * {0}{2} * " + str(FINE) + ") as long)) / (count(1) * " + str(FINE) + ")"
+    t = t.groupBy("pool").agg(*[F.expr(f"{P} * {fine.format('a', i, j)} as v1_{i}_{j}") for i, j in PAIRS], *[F.expr(f"{fine.format('b', i, j)} as v2_{i}_{j}") for i, j in PAIRS])
+    t = spread.join(t.withColumnRenamed("pool", "p"), F.expr("pool = p")).drop("p")
+    share = lambda k, i, j: f"v{k}_{i}_{j}" if k else "1d" if i == j else "0d"
+    made = [f"named_struct('start', {k}, " + ", ".join(f"'v_{i}_{j}', {share(k, i, j)} * s{i} * s{j}" for i, j in PAIRS) + ")" for k in range(STARTS)]
+    t = t.selectExpr("pool", *MEANS, f"inline(array({', '.join(made)}))")
+    return space.write(_triangle(t, ["pool", "start"]), "starts")
+
+
+def _buckets(vectors: DataFrame, now: DataFrame, space: Workspace, sums: bool) -> DataFrame:
+    """Per pool, start and bucket of distance: n, the sums of its vectors, and how many come before it and in all."""
+    t = _distance(_joined(vectors, now)).selectExpr("pool", "start", *XS, f"cast(floor(ln(1 + d2) * {BUCKETS}) as int) as bucket")
+    more = [f"sum({x}) as s_{x}" for x in XS] + [f"sum(x{i} * x{j}) as q_{i}_{j}" for i, j in PAIRS] if sums else []
+    t = space.write(t.groupBy("pool", "start", "bucket").agg(F.expr("count(1) as n"), *map(F.expr, more)), "buckets")
+    before = "coalesce(sum(n) over (partition by pool, start order by bucket rows between unbounded preceding and 1 preceding), 0)"
+    return t.selectExpr("*", f"{before} as before", "sum(n) over (partition by pool, start) as all")
+
+
+def _concentrated(vectors: DataFrame, now: DataFrame, space: Workspace, share: float) -> DataFrame:
+    """The mean and covariance of the nearest share, and the logarithm of the determinant."""
+    t = _buckets(vectors, now, space, True).where(f"before < ceil((all + {P + 1}) * {share}d)")
+    t = t.groupBy("pool", "start").agg(*map(F.expr, ["sum(n) as n", *[f"sum(s_{x}) as s_{x}" for x in XS], *[f"sum(q_{i}_{j}) as q_{i}_{j}" for i, j in PAIRS]]))
+    t = t.selectExpr("pool", "start", *[f"s_x{i} / n as m{i}" for i in range(P)], *[f"q_{i}_{j} / n - s_x{i} / n * (s_x{j} / n) as v_{i}_{j}" for i, j in PAIRS])
+    t = _triangle(t, ["pool", "start"]).selectExpr("*", " + ".join(f"2 * ln(l_{i}_{i})" for i in range(P)) + " as log_det")
+    return space.write(t, "step")
+
+
+def estimates(vectors: DataFrame, space: Workspace, share: float = SHARE, steps: int = STEPS, smallest: int = SMALLEST, deviations: float = DEVIATIONS) -> DataFrame:
+    """From (pool, x0..): a row a pool of at least `smallest` rows with m0.., l_i_j, log_det, scale and cutoff of the squared distances."""
+    now = _starts(vectors, space, smallest)
+    for _ in range(steps):
+        now = _concentrated(vectors, now.drop("log_det"), space, share)
+    least = now.groupBy("pool").agg(F.min(F.struct("log_det", "start")).alias("best"))
+    now = space.write(now.join(least.select(F.col("pool").alias("p"), F.col("best.start").alias("s")), (F.col("pool") == F.col("p")) & (F.col("start") == F.col("s"))).drop("p", "s"), "best")
+    for _ in range(MORE_STEPS):
+        now = _concentrated(vectors, now.drop("log_det"), space, share)
+    t = _buckets(vectors, now, space, False)
+    root = f"cbrt((exp((bucket + 0.5) / {BUCKETS}) - 1) / {CONSISTENCY})"
+    t = t.groupBy("pool").agg(F.expr(f"max(if(before < 0.25 * all, {root}, null)) as low"), F.expr(f"max(if(before < 0.5 * all, {root}, null)) as mid"))
+    t = t.selectExpr("pool as p", f"greatest({LEAST_CUTOFF}, pow(mid + {deviations / QUARTILE} * (mid - low), 3)) as cutoff")
+    return space.write(now.join(t, F.expr("pool = p")).drop("p", "start").withColumn("scale", F.lit(CONSISTENCY)), "estimates")
 
 
 def _pools(t: DataFrame, smallest: int, space: Workspace) -> DataFrame:
@@ -162,19 +187,19 @@ def _pools(t: DataFrame, smallest: int, space: Workspace) -> DataFrame:
     return space.write(of.select(F.col("lang").alias("l"), F.col("source").alias("s"), pool.alias("pool")), "pools")
 
 
-def judged(df: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "lang", source: str = "source", columns: list[str] | None = None, cutoff: float = CUTOFF, smallest: int = SMALLEST) -> DataFrame:
-    """One row per input row: row (struct of `columns`), the statistics, base_failed, d2 (null without a verdict), kept."""
+def judged(df: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "lang", source: str = "source", columns: list[str] | None = None, deviations: float = DEVIATIONS, smallest: int = SMALLEST) -> DataFrame:
+    """One row per input row: row (struct of `columns`), the statistics, base_failed, d2 and its pool's cutoff (null without a verdict), kept."""
     space = Workspace(df.sparkSession)
     key = lambda c, as_: F.coalesce(F.concat(F.lit("="), name(c).cast("string")), F.lit("")).alias(as_)
     t = statistics(df, text, [packed(df, columns).alias("row"), key(lang, "lang"), key(source, "source")])
     t = space.write(t.select("*", *vector()), "statistics")
     pools = _pools(t, smallest, space)
     t = t.join(_sized(pools), (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s"))).drop("l", "s")
-    found = estimates(t.select("pool", *[f"x{i}" for i in range(P)]), space, smallest=smallest)
+    found = estimates(t.select("pool", *XS), space, smallest=smallest, deviations=deviations)
     out = _distance(_joined(t, found, "left"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    d2 = F.col("d2") / F.greatest("scale", F.lit(1.0))
-    return out.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), d2.alias("d2"), (~failed & F.coalesce(d2 <= cutoff, F.lit(True))).alias("kept"))
+    d2 = F.col("d2") / F.col("scale")
+    return out.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), d2.alias("d2"), "cutoff", (~failed & F.coalesce(d2 <= F.col("cutoff"), F.lit(True))).alias("kept"))
 
 
 def clean(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:

@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from octavo.llm import quality_rules, queries
+from octavo.llm.common import Workspace
 from pyspark.sql import functions as F
 
 
@@ -56,3 +58,46 @@ def test_query(spark, sf):
     got = queries.op7_rules(spark, sf).collect()
     assert {r.doc_id for r in got} == set(texts)
     assert all(stats(r) == base(texts[r.doc_id]) for r in got)
+
+
+def brute_mcd(x, rng, starts=60):
+    """The half with the least determinant of many random starts, each concentrated until it stays."""
+    floor, h = np.eye(x.shape[1]) * quality_rules.FLOOR**2, -(-(len(x) + x.shape[1] + 1) // 2)
+    best = (np.inf, None)
+    for _ in range(starts):
+        own = rng.choice(len(x), x.shape[1] + 1, replace=False)
+        for _ in range(30):
+            m, c = x[own].mean(axis=0), np.cov(x[own].T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            new = np.argsort(d, kind="stable")[:h]
+            if set(new) == set(own):
+                break
+            own = new
+        c = np.cov(x[own].T, bias=True) + floor
+        best = min(best, (np.linalg.slogdet(c)[1], tuple(d)))
+    return best[0], np.array(best[1]) / quality_rules.CONSISTENCY
+
+
+def test_estimates_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pools, rows = {}, []
+    for k, n in enumerate([50, 120, 500, 49]):
+        mix = rng.normal(size=(6, 6)) * 200
+        x = rng.normal(size=(n, 6)) @ mix + rng.normal(size=6) * 500
+        x[: n // 3] = rng.normal(size=(n // 3, 6)) * 30 + x.mean(axis=0) + 9000 * (1 - 2 * (k % 2))  # a third far off, together
+        pools[f"p{k}"] = np.round(x).astype(int)
+        rows += [(f"p{k}", *map(int, r)) for r in pools[f"p{k}"]]
+    df = spark.createDataFrame(rows, "pool string, " + ", ".join(f"x{i} long" for i in range(6))).repartition(3)
+    space = Workspace(spark)
+    got = {r.pool: r for r in quality_rules.estimates(space.write(df, "x"), space).collect()}
+    assert set(got) == {"p0", "p1", "p2"}  # the last is too small
+    for pool, e in got.items():
+        x = pools[pool]
+        least, d = brute_mcd(x.astype(float), rng)
+        low = np.array([[e[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(6)] for i in range(6)])
+        z = np.linalg.solve(low, (x - np.array([e[f"m{i}"] for i in range(6)])).T)
+        own = (z**2).sum(axis=0) / e.scale
+        assert e.log_det <= least + 1.5  # of six dimensions; whole buckets take a few rows more than half
+        bad = np.arange(len(x)) < len(x) // 3
+        assert e.cutoff >= quality_rules.LEAST_CUTOFF and ((own > e.cutoff) == (d > e.cutoff)).mean() > 0.97
+        assert (own[bad] > e.cutoff).all() and (own[~bad] <= e.cutoff).mean() > 0.97
