@@ -32,7 +32,7 @@ def leading_number(x: Column, low: int, high: int, unsigned_wrap: int | None = N
     exact = lambda n: F.lit(Decimal(n)).cast("decimal(38,0)")
     size = F.when(F.length(digits) == 0, exact(0)).when(F.length(digits) > 20, exact(10**20)).otherwise(F.left(digits, F.lit(20)).try_cast("decimal(38,0)"))
     if unsigned_wrap:
-        over = size >= unsigned_wrap
+        over = size >= exact(unsigned_wrap)
         return F.when(over, exact(high)).when((sign == "-") & (size > 0), exact(unsigned_wrap) - size).otherwise(size)
     value = F.when(sign == "-", -size).otherwise(size)
     return F.least(F.greatest(value, exact(low)), exact(high))
