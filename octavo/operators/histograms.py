@@ -53,6 +53,7 @@ def ends_block(old: Column, new: Column, length: Column) -> Column:
     total = lambda h: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x)
     a, b = total(old), total(new)
     # 200 of 512, and the bounds below which short blocks end more easily.
-    cutoff = F.floor(b * 200 / 512) * a
-    cutoff = F.when((length < 10000) & (a + b < 8192), cutoff + F.floor(cutoff * (8192 - a - b) / 8192)).otherwise(cutoff)
-    return (a > 0) & (split_delta(old, new) + F.floor(length / 4096) * a >= cutoff)
+    div = lambda x, y: F.call_function("div", x, y)
+    cutoff = div(b * 200, F.lit(512)) * a
+    cutoff = F.when((length < 10000) & (a + b < 8192), cutoff + div(cutoff * (8192 - a - b), F.lit(8192))).otherwise(cutoff)
+    return (a > 0) & (split_delta(old, new) + div(length, F.lit(4096)) * a >= cutoff)

@@ -92,11 +92,11 @@ def common_literals(spark, sf_dir):
 @query()
 def huffman_codes(spark, sf_dir):
     """Length-limited canonical codes of each language's bytes."""
-    n = histograms.byte_histogram(documents(spark, sf_dir, "lang").where("lang is not null"), "content", "lang")
+    n = histograms.byte_histogram(documents(spark, sf_dir, "lang").withColumn("lang", F.coalesce("lang", F.lit("none"))), "content", "lang")
     return huffman.prefix_codes(n, "lang", "byte", limit=14)
 
 
-@query("""select lang, 1.0::double as kraft, true as canonical from documents where lang is not null group by lang""")
+@query("""select coalesce(lang, 'none') as lang, 1.0::double as kraft, true as canonical from documents where text <> '' group by 1""")
 def huffman_is_complete(spark, sf_dir):
     """The Kraft sum of each code, and whether expressions assign the same canonical codewords."""
     codes = huffman_codes(spark, sf_dir)
@@ -154,24 +154,16 @@ def lz77_statistics(spark, sf_dir):
     return steps.join(nxt, (F.col("length") >= F.col("base")) & (F.col("length") < F.col("next"))).groupBy("slot").agg(F.count(F.lit(1)).alias("matches"), F.sum("length").alias("bytes"), F.sum("literals").alias("literals"))
 
 
-@query("""
-    with d as (select doc_id, octet_length(encode(text)) as n from documents)
-    select doc_id, crc is not null as has_crc, n::bigint as size from (select *, 1 as crc from d)""")
-def chunk_crcs(spark, sf_dir):
-    t = chunks.chunks(documents(spark, sf_dir), "content", CHUNK, keep=("doc_id",))
-    return t.groupBy("doc_id").agg(F.bool_and(F.crc32("bytes").isNotNull()).alias("has_crc"), F.sum(F.octet_length("bytes")).alias("size"))
-
-
 @query(f"""
     with n as (select doc_id, byte, count(*) as n from (select doc_id, ('0x' || {BYTES})::int as byte from documents) group by all),
     k as (select *, row_number() over (partition by doc_id order by n, byte) as rank from n)
-    select doc_id, byte, n, rank::int as rank from k where rank <= 5""")
+    select doc_id, byte, n, rank::int as rank from k""")
 def rarest_bytes(spark, sf_dir):
     """Symbols in code order: by frequency, then symbol."""
     from pyspark.sql import Window
 
     n = histograms.byte_histogram(documents(spark, sf_dir), "content", "doc_id")
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "byte"))).where("rank <= 5")
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "byte")))
 
 
 COUNTS = {k: ", ".join(f"count(*) filter (where doc_id % 10 = {i} and doc_id % 3 {op} 0)" for i in range(10)) for k, op in (("OLD", "="), ("NEW", "<>"))}
