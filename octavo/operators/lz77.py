@@ -6,6 +6,7 @@ bounded by the chain's depth; a chunk is what one call holds.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,44 +28,53 @@ def extend(data: bytes, a: int, b: int, most: int) -> int:
     return n
 
 
-def steps(data: bytes, lazy: bool = True, depth: int = DEPTH) -> list[tuple[int, int, int]]:
-    size, last, chain = len(data), {}, [0] * len(data)
+def chains(data: bytes) -> list[int]:
+    """For each position the last one before it that starts with the same three bytes, or -1."""
+    x = np.frombuffer(data, np.uint8).astype(np.int32)
+    if len(x) < SHORTEST:
+        return [-1] * len(x)
+    key = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+    order = np.argsort(key, kind="stable")
+    made = np.full(len(x), -1)
+    same = key[order[1:]] == key[order[:-1]]
+    made[order[1:][same]] = order[:-1][same]
+    return made.tolist()
+
 
-    def add(i):
-        key = data[i : i + 3]
-        chain[i] = last.get(key, -1)
-        last[key] = i
+def steps(data: bytes, lazy: bool = True, depth: int = DEPTH) -> list[tuple[int, int, int]]:
+    size, chain = len(data), chains(data)
 
     def best(i):
         most = min(LONGEST, size - i)
-        found, at, left = (0, 0), last.get(data[i : i + 3], -1), depth
-        while most >= SHORTEST and at >= 0 and i - at <= WINDOW and left:
-            n = extend(data, at, i, most)
-            if n > found[0]:
-                found = n, i - at
-                if n >= NICE:
-                    break
+        length, offset, at, left = SHORTEST - 1, 0, chain[i], depth
+        while at >= 0 and i - at <= WINDOW and left:
+            if data[at + length] == data[i + length]:  # else it is no longer than what is found
+                n = extend(data, at, i, most)
+                if n > length:
+                    length, offset = n, i - at
+                    if n >= NICE or n == most:
+                        break
             at, left = chain[at], left - 1
-        return found if found[0] > SHORTEST or (found[0] == SHORTEST and found[1] <= NEAR) else (0, 0)
+        return (length, offset) if length > SHORTEST or (length == SHORTEST and offset <= NEAR) else (0, 0)
 
-    out, start, i = [], 0, 0
+    out, start, i, known = [], 0, 0, None
     while i < size:
-        length, offset = best(i)
-        if i + 3 <= size:
-            add(i)
+        if chain[i] < 0:
+            i += 1
+            continue
+        length, offset = known or best(i)
+        known = None
         if not length:
             i += 1
             continue
         if lazy and length < NICE and i + 1 < size:
-            nxt = best(i + 1)
-            if 4 * (nxt[0] - length) + offset.bit_length() - nxt[1].bit_length() > 2 and nxt[0]:
+            known = best(i + 1)
+            if known[0] and 4 * (known[0] - length) + offset.bit_length() - known[1].bit_length() > 2:
                 i += 1
                 continue
         out.append((i - start, length, offset))
-        for j in range(i + 1, min(i + length, size - 2)):
-            add(j)
         i += length
-        start = i
+        start, known = i, None
     if start < size:
         out.append((size - start, 0, 0))
     return out

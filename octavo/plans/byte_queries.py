@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from ..operators import checksums, chunks, containers, histograms, huffman, lz77
+from ..operators import checksums, chunks, containers, deflate, histograms, huffman, lz77
 from .registry import query, table
 
 BYTES = "unnest(regexp_extract_all(hex(encode(text)), '..'))"
@@ -130,6 +130,16 @@ def gzip_round_trip(spark, sf_dir):
     return t.select("doc_id", F.octet_length("content").cast("long").alias("size"), F.startswith("gzip", F.lit(b"\x1f\x8b\x08\x00")).alias("header"), (F.substring(F.col("gzip"), -8, 8) == containers.trailer(F.crc32("content"), F.octet_length("content"))).alias("trailer"), (back == F.col("content")).alias("same"))
 
 
+@query("""select doc_id, octet_length(encode(coalesce(text, '')))::bigint as size, true as same, true as bounded from documents""")
+def deflate_round_trip(spark, sf_dir):
+    """gzip members whose bits are this package's, inflated by the standard library; bounded: not above stored blocks of each chunk."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    size = F.octet_length("content").cast("long")
+    made = deflate.gzip(t, "doc_id", "content").select(F.col("doc_id").alias("d"), "gzip")
+    most = 18 + size + 6 * (F.floor(size / deflate.CHUNK) + 1)
+    return t.join(made, F.col("doc_id") == F.col("d")).select("doc_id", size.alias("size"), (containers.gunzip(F.col("gzip")) == F.col("content")).alias("same"), (F.octet_length("gzip") <= most).alias("bounded"))
+
+
 @query("""select page_id, true as same from pages""")
 def zlib_round_trip(spark, sf_dir):
     t = containers.zlib_stream(table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content")), "content")
