@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import folds, ogg, signal
+from ..operators import folds, jpeg, ogg, signal
 from ..sources import pnm, wav
 from ..streaming import latency
 from .registry import query, table
@@ -52,6 +52,29 @@ def image_coefficients(spark, sf_dir):
     return t.select("vec_id", "by", "bx", F.element_at("coef", 1).alias("dc"), F.size(F.filter("coef", lambda x: x != 0)).alias("nonzero"))
 
 
+def gray(v):
+    return pnm.written(np.resize((np.abs(v) * 255) % 256, (8, 16)))
+
+
+@query("""
+    with p as (select vec_id, floor((abs(unnest(embedding)::double) * 255) % 256) as p, unnest(range(0, 64)) as i from embeddings),
+    b as (select vec_id, (i // 8) % 2 as bx, (2 * sum(p) - 64 * 128) / 8 / 3 as x from p group by all),
+    q as (select vec_id, bx, sign(x) * floor(abs(round(x, 9)) + 0.5) as q from b),
+    d as (select vec_id, abs(q - lag(q, 1, 0) over (partition by vec_id order by bx))::bigint as d from q)
+    select vec_id, (case when d = 0 then 0 else length(bin(d)) end)::int as symbol, count(*) as n from d group by all""")
+def jpeg_difference_symbols(spark, sf_dir):
+    """How often each size of a difference between neighbouring blocks' means is sent, for gray images of two blocks at quality 90."""
+    return jpeg.symbol_histograms(files(spark, sf_dir, gray), "vec_id", "content").where("kind = 0").select("vec_id", "symbol", "n")
+
+
+@query("select vec_id, 16::int as width, 8::int as height, 3::int as components, true as whole from embeddings")
+def jpeg_files(spark, sf_dir):
+    """Colour images as files; whole: begun and ended by their markers, and no 0xFF between them that isn't a marker's or stuffed."""
+    t = jpeg.encoded(files(spark, sf_dir, lambda v: pnm.written(np.resize((np.abs(v) * 255) % 256, (8, 16, 3)))), "vec_id", "content")
+    whole = F.hex("jpeg").rlike("^FFD8(FFDB0043..([0-9A-F]{2}){64}){2}FFC0.*(FFC4.*){2}FFDA000C03([0-9A-F]{2}){9}((?!FF)..|FF00)*FFD9$")
+    return t.select("vec_id", "width", "height", "components", whole.alias("whole"))
+
+
 @query("select conv_id, count(*) as packets, true as ordered from conversations group by conv_id")
 def ogg_round_trip(spark, sf_dir):
     """Pages of each conversation's turns, parsed again: checksums hold, and all packets are there in order, byte for byte."""
