@@ -64,3 +64,34 @@ def three_quarters(x: Column) -> Column:
 def psnr(squares: Column, n: Column, peak: float) -> Column:
     """Decibels of the peak over the mean squared error; null without an error."""
     return F.when(squares > 0, 10.0 * F.log10(peak * peak / (squares / n)))
+
+
+def fast_log2(x: Column) -> Column:
+    """log2 of a positive number as a straight line between neighbouring 512ths of its octave."""
+    octave = F.floor(F.log2(x))
+    # A logarithm off by an ulp at a power of two is put right.
+    octave = octave + F.when(x < F.pow(F.lit(2.0), octave), -1).when(x >= F.pow(F.lit(2.0), octave + 1), 1).otherwise(0)
+    place = (x / F.pow(F.lit(2.0), octave) - 1) * 512
+    at, part = F.floor(place), place - F.floor(place)
+    return octave + (1 - part) * F.log2(1 + at / 512) + part * F.log2(1 + (at + 1) / 512)
+
+
+def reservoir_budget(level: Column, most: Column, mean: Column, saving: bool = True) -> Column:
+    """target and extra bits of a frame. Over nine tenths full, the excess is spent; else a tenth of the mean is saved. At most six tenths come from the store."""
+    full = level * 10 > most * 9
+    excess = F.when(full, level - F.floor(most * 9 / 10)).otherwise(0)
+    target = F.when(full, mean + excess).otherwise(F.floor(mean * 0.9) if saving else mean)
+    extra = F.greatest(F.least(level, F.floor(most * 6 / 10)) - excess, F.lit(0))
+    return F.struct(target.cast("long").alias("target"), extra.cast("long").alias("extra"))
+
+
+def takes_mid_side(middle: Column, plain: Column, same_types: Column) -> Column:
+    """Whether a frame's two channels go as sum and difference: no dearer by perceptual entropy, and blocks of the same types."""
+    return (middle <= plain) & same_types
+
+
+def most_samples(size: Column, offset: Column, limit: Column, channels: Column, bits: Column) -> Column:
+    """Samples a channel that a file can hold after its header, within a limit of bytes; 0 if the size isn't known (null)."""
+    data = F.least(F.greatest(size - offset, F.lit(0)), limit)
+    width = F.greatest(F.floor((bits + 7) / 8), F.lit(1))
+    return F.when(size.isNull(), F.lit(0)).otherwise(F.floor(data / (channels * width)) + 1).cast("long")

@@ -5,7 +5,9 @@ A key's rows go to one task in order, in Arrow batches: only the state is held,
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +56,22 @@ def biquad(df: DataFrame, key: str, order: str, value: str, b: tuple[float, floa
     return fold(df, key, order, [value], lambda: (0.0, 0.0), step, f"{key} long, {order} long, y double")
 
 
+def iir(df: DataFrame, key: str, order: str, value: str, stages: list[tuple[list[float], list[float]]]) -> DataFrame:
+    """y after recursive filters one after another, each (b, a): y[n] = b0 x[n] + b1 x[n-1] + ... - a1 y[n-1] - a2 y[n-2] - ..., from silence. The state is two short queues a filter."""
+
+    def start():
+        return [(deque([0.0] * len(b), len(b)), deque([0.0] * len(a), len(a))) for b, a in stages]
+
+    def step(state, _, x):
+        for (xs, ys), (b, a) in zip(state, stages, strict=True):
+            xs.appendleft(x)
+            x = sum(map(mul, b, xs)) - sum(map(mul, a, ys))
+            ys.appendleft(x)
+        return state, (x,)
+
+    return fold(df, key, order, [value], start, step, f"{key} long, {order} long, y double")
+
+
 def pages(df: DataFrame, key: str, order: str, size: str, granule: str, delay: int) -> DataFrame:
     """The (first) page of each packet: a page holds 255 lacing values, and closes once it spans `delay`. A packet of more has pages of its own."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,16 @@ def squeeze(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame
     return t.select(*keys, "pos", "avg", (F.col("a") - F.col("b") - tendency(left, F.col("avg"), nxt)).alias("residual"))
 
 
+def squeezed(df: DataFrame, keys: list[str], order: str, value: str, levels: int) -> DataFrame:
+    """keys, level, pos, residual: pairs squeezed, then their averages, `levels` times; the last averages as level 0. Each level has half the rows of the one before."""
+    made, t = [], df.select(*keys, F.col(order).alias("pos"), F.col(value).alias("avg"))
+    for level in range(1, levels + 1):
+        t = squeeze(t, keys, "pos", "avg")
+        made.append(t.select(*keys, F.lit(level).alias("level"), "pos", F.coalesce("residual", F.lit(0)).cast("long").alias("residual")))
+    made.append(t.select(*keys, F.lit(0).alias("level"), "pos", F.col("avg").cast("long").alias("residual")))
+    return reduce(DataFrame.unionByName, made)
+
+
 def before(value: str, keys: list[str], order: str) -> Column:
     """The exclusive prefix sum."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

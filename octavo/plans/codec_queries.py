@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, text
-from ..operators import bitstream
+from ..operators import bitstream, rangecoder
 from .registry import query, table
 
 
@@ -189,3 +189,55 @@ def periodic_bytes(spark, sf_dir):
     i = F.col("id")
     t = spark.range(300_000).select(i, ((i % 7919 * 31 + i % 13) % 256).alias("x"))
     return t.groupBy(F.floor(i / 4096).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * (i % 4096)).alias("weighted"))
+
+
+@query("""with x as (select distinct l_extendedprice::double as x from lineitem), o as (select x, floor(log2(x)) + case when x < pow(2, floor(log2(x))) then -1 when x >= pow(2, floor(log2(x)) + 1) then 1 else 0 end as o from x),
+    p as (select x, o, (x / pow(2.0, o) - 1) * 512 as p from o)
+    select x, round(o + (1 - (p - floor(p))) * log2(1 + floor(p) / 512) + (p - floor(p)) * log2(1 + (floor(p) + 1) / 512), 6) as bits, abs(o + log2(1 + p / 512) - log2(x)) < 1e-5 as near from p""")
+def interpolated_logarithms(spark, sf_dir):
+    """near: within 1e-5 of the logarithm."""
+    x = F.col("x")
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("double").alias("x")).distinct()
+    return t.select("x", F.round(codec.fast_log2(x), 6).alias("bits"), (F.abs(codec.fast_log2(x) - F.log2(x)) < 1e-5).alias("near"))
+
+
+@query("""with f as (select l_orderkey, l_linenumber, (l_partkey % 4000)::bigint as level, (3000 + l_suppkey % 1001)::bigint as most, (l_quantity * 40)::bigint as mean from lineitem),
+    e as (select *, if(level * 10 > most * 9, level - (most * 9) // 10, 0) as excess from f)
+    select l_orderkey, l_linenumber, if(level * 10 > most * 9, mean + excess, mean * 9 // 10)::bigint as target, greatest(least(level, (most * 6) // 10) - excess, 0)::bigint as extra from e""")
+def frame_budgets(spark, sf_dir):
+    """What a frame may spend at a level of the reservoir."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 4000).cast("long").alias("level"), (3000 + F.col("l_suppkey") % 1001).cast("long").alias("most"), (F.col("l_quantity") * 40).cast("long").alias("mean"))
+    return t.select("l_orderkey", "l_linenumber", codec.reservoir_budget(F.col("level"), F.col("most"), F.col("mean")).alias("b")).select("l_orderkey", "l_linenumber", "b.*")
+
+
+@query("""select l_orderkey, sum(l_quantity::double) * 1000 <= sum(l_partkey)::double and count(distinct if(l_linenumber % 2 = 0, l_linestatus, null)) <= 1 as mid_side,
+    (least(greatest(sum(l_partkey)::bigint - 44, 0), 100000) // (2 * 2) + 1)::bigint as samples from lineitem group by l_orderkey""")
+def channel_choices(spark, sf_dir):
+    """An order's lines stand in for channels: whether sum and difference are taken, and how many samples a file of its size can have."""
+    agg = [(F.sum(F.col("l_quantity").cast("double")) * 1000).alias("m"), F.sum("l_partkey").cast("long").alias("p"), (F.count_distinct(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus"))) <= 1).alias("same")]
+    t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*agg)
+    samples = codec.most_samples(F.col("p"), F.lit(44), F.lit(100_000), F.lit(2), F.lit(16))
+    return t.select("l_orderkey", codec.takes_mid_side(F.col("m"), F.col("p").cast("double"), F.col("same")).alias("mid_side"), samples.alias("samples"))
+
+
+@query("""with e as (select user_id, (row_number() over (partition by user_id order by event_id) - 1) // 64 as frame, abs(round(value * 100)::bigint) % 65536 as v from events)
+    select user_id, frame::bigint as frame, count(*) as n, sum(v)::bigint as total, true as short from e group by user_id, frame""")
+def range_coded_values(spark, sf_dir):
+    """Each user's values in frames of 64, range coded, and their sum as it is read back from the packets; short: no more than two bytes above 16 bits a value."""
+    import pyarrow as pa
+
+    by = Window.partitionBy("user_id").orderBy("event_id")
+    t = table(spark, sf_dir, "events").select("user_id", F.floor((F.row_number().over(by) - 1) / 64).alias("frame"), "event_id", (F.abs(F.round(F.col("value") * 100).cast("long")) % 65536).alias("v"))
+    t = t.groupBy("user_id", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "v"))), lambda x: x["v"]).alias("v"))
+    call = lambda v: F.struct(F.lit("uniform").alias("kind"), v.alias("a"), F.lit(65536).cast("long").alias("b"), F.lit(0).cast("long").alias("c"))
+    t = rangecoder.packets(t.select(F.struct("user_id", "frame", F.size("v").alias("n")).alias("k"), F.transform("v", call).alias("calls")), "k", "calls")
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for n, packet in zip(batch.column("n").to_pylist(), batch.column("packet").to_pylist(), strict=True):
+                d = rangecoder.Decoder(packet)
+                made.append((sum(d.uniform(65536) for _ in range(n)), len(packet) <= 2 * n + 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.bool_())], ["user_id", "frame", "n", "total", "short"])
+
+    return t.select("k.user_id", "k.frame", F.col("k.n").cast("long").alias("n"), "packet").mapInArrow(run, "user_id long, frame long, n long, total long, short boolean")

@@ -48,6 +48,19 @@ def squeeze_pairs(spark, sf_dir):
     return sequence.squeeze(samples(spark, sf_dir), ["user_id"], "i", "v").select("user_id", "pos", "avg", F.coalesce("residual", F.lit(0)).cast("long").alias("residual"))
 
 
+LEVEL = f"select user_id, pos, avg, coalesce(a - b - case when sg = 0 then 0 else z end, 0)::bigint as residual from t3"
+NEXT = f"(with s as (select user_id, pos as i, avg as v from BEFORE), {SQUEEZE} {LEVEL})"
+
+
+@query(f"""
+    with one as materialized (with {SAMPLES}, {SQUEEZE} {LEVEL}), two as materialized {NEXT.replace('BEFORE', 'one')}, three as materialized {NEXT.replace('BEFORE', 'two')}
+    select user_id, 1::int as level, pos, residual from one union all select user_id, 2, pos, residual from two union all select user_id, 3, pos, residual from three
+    union all select user_id, 0, pos, avg from three""")
+def squeeze_levels(spark, sf_dir):
+    """Three levels of averages and residuals."""
+    return sequence.squeezed(samples(spark, sf_dir), ["user_id"], "i", "v", 3)
+
+
 @query(f"with {SAMPLES} select user_id, i, coalesce(sum(v) over (partition by user_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from s")
 def exclusive_prefix(spark, sf_dir):
     t = samples(spark, sf_dir)

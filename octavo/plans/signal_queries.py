@@ -27,6 +27,12 @@ def title_gain(spark, sf_dir):
     return loudness.title_gain(both.select("title", loudness.level_bin(F.col("energy"), F.col("r"), WINDOW).alias("bin")), "title", "bin")
 
 
+@query()
+def weighted_samples(spark, sf_dir):
+    """Each user's samples through the loudness filters of 44.1 kHz."""
+    return loudness.weighted(samples(spark, sf_dir).select("user_id", "i", F.col("v").cast("double").alias("v")), "user_id", "i", "v")
+
+
 @query("""
     select a.label, round(sum(list_dot_product(a.embedding::double[], b.embedding::double[])), 3) as total, count(*) as n
     from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 group by a.label""")
