@@ -11,6 +11,8 @@ worker remembers a bounded number of units and pairs. A long word is merged in n
 
 Defined cases: null is the empty text (no ids, digests of nothing); repeated rows are
 encoded row by row; an empty table gives an empty result; other columns are ignored.
+Long texts are encoded whole, cut into slices of bounded bytes between units; a unit is never
+cut, so one word of any length is held at once.
 """
 
 from __future__ import annotations

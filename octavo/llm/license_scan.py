@@ -15,7 +15,8 @@ Scale: one pass over the texts; (text, rule) pairs exist only for keywords met.
 which each holds at most its own; suppression takes one sort and running maxima, not pairs.
 
 Defined cases: null is the empty text (no words, score 0); repeated rows are scanned row by row;
-empty tables give empty results; the input's columns stay in the struct `row`.
+empty tables give empty results; the input's columns stay in the struct `row`. Long texts are scanned
+whole; a text's words and its own detections are what one task holds.
 """
 
 from __future__ import annotations

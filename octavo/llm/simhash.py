@@ -21,6 +21,7 @@ Defined cases: null, empty and blank texts have fingerprint zero and link like a
 fewer words than a shingle: the whole sequence is one shingle; repeated rows are rows of
 one node; null ids are ignored by the minimum (component_id is null if there is no other);
 an empty table gives an empty result; the input's columns travel in the struct `row`.
+Long texts are fingerprinted whole; a task holds one text's shingles beside its batch.
 """
 
 from __future__ import annotations
