@@ -7,6 +7,7 @@ import heapq
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def code_lengths(freqs: list[int], limit: int = 15) -> list[int]:
@@ -50,6 +51,12 @@ def code_lengths(freqs: list[int], limit: int = 15) -> list[int]:
     return lengths
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def row_lengths(histogram: pd.Series) -> pd.Series:
+    """Code lengths of at most 15 bits for a row's histogram; null for null."""
+    return pd.Series([None if h is None else code_lengths([int(n) for n in h]) for h in histogram], dtype=object)
+
+
 def codes_of(lengths: list[int]) -> list[int]:
     """Canonical codewords: by length, then symbol."""
     made, code, last = [0] * len(lengths), 0, 0

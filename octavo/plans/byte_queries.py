@@ -106,9 +106,10 @@ def huffman_is_complete(spark, sf_dir):
 @query()
 def block_costs(spark, sf_dir):
     """Bits of each document's literals as a stored, static and dynamic block, and the cheapest type."""
-    n = histograms.byte_histogram(documents(spark, sf_dir), "content", "doc_id")
-    codes = huffman.prefix_codes(n, "doc_id", "byte")
-    t = codes.groupBy("doc_id").agg(F.sum("n").alias("length"), (F.sum(F.col("n") * F.when(F.col("symbol") < 144, 8).otherwise(9)) + 10).alias("static"), (F.sum(F.col("n") * F.col("len")) + 17 + 3 * 19).alias("dynamic"))
+    t = documents(spark, sf_dir).where(F.octet_length("content") > 0).select("doc_id", F.octet_length("content").cast("long").alias("length"), histograms.row_histogram("content").alias("h"))
+    bits = lambda lengths: F.aggregate(F.zip_with("h", lengths, lambda n, w: n * w), F.lit(0).cast("long"), lambda x, y: x + y)
+    fixed = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda s: F.when(s < 144, 8).otherwise(9))
+    t = t.select("doc_id", "length", (bits(fixed) + 10).alias("static"), (bits(huffman.row_lengths("h")) + 17 + 3 * 19).alias("dynamic"))
     t = t.withColumn("stored", huffman.stored_cost(F.col("length")).cast("long"))
     return t.select("doc_id", "length", "stored", "static", "dynamic", huffman.cheapest(F.col("stored"), F.col("static"), F.col("dynamic")).alias("type"))
 
@@ -170,10 +171,10 @@ def lz77_statistics(spark, sf_dir):
     select doc_id, byte, n, rank::int as rank from k""")
 def rarest_bytes(spark, sf_dir):
     """Symbols in code order: by frequency, then symbol."""
-    from pyspark.sql import Window
-
-    n = histograms.byte_histogram(documents(spark, sf_dir), "content", "doc_id")
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "byte")))
+    counted = F.transform(histograms.row_histogram("content"), lambda n, byte: F.struct(n.alias("n"), byte.alias("byte")))
+    used = F.array_sort(F.filter(counted, lambda x: x["n"] > 0))
+    t = documents(spark, sf_dir).select("doc_id", F.posexplode(used).alias("at", "x"))
+    return t.select("doc_id", "x.byte", "x.n", (F.col("at") + 1).alias("rank"))
 
 
 COUNTS = {k: ", ".join(f"count(*) filter (where doc_id % 10 = {i} and doc_id % 3 {op} 0)" for i in range(10)) for k, op in (("OLD", "="), ("NEW", "<>"))}
