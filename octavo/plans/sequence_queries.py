@@ -129,19 +129,34 @@ def decimated_sums(spark, sf_dir):
     return t.where((F.col("i") + 1) % 8 == 0).select("user_id", (F.floor((F.col("i") + 1) / 8) - 1).alias("entry"), "bag")
 
 
-@query()
+@query(f"""
+    with recursive {SAMPLES}, f as (select user_id, i, ((v % 4000) + 4000) % 4000 as bits from s),
+    r as (select user_id, -1::bigint as i, 0::bigint as level, 0::bigint as stuffing from f where i = 0
+          union all select user_id, i, kept - kept % 8 - more, kept % 8 + more from (
+            select f.user_id, f.i, level + 2000 - least(bits, level + 2000) as kept, greatest(0, kept - kept % 8 - 4088) as more from r join f on f.user_id = r.user_id and f.i = r.i + 1))
+    select user_id, i, level, stuffing from r where i >= 0""")
 def bit_reservoir(spark, sf_dir):
     """A running level with a cap and drains in whole bytes, per user."""
     return folds.reservoir(samples(spark, sf_dir).withColumn("v", F.pmod("v", F.lit(4000))), "user_id", "i", "v", most=4088)
 
 
-@query()
+@query(f"""
+    with recursive {SAMPLES}, r as (select user_id, -1::bigint as i, 0.0::double as y, 0.0::double as a, 0.0::double as b from s where i = 0
+          union all select user_id, i, y, 0.5::double * v + 0.2::double * y + b, 0.25::double * v - 0.1::double * y from (
+            select s.user_id, s.i, s.v, 0.25::double * s.v + r.a as y, r.b from r join s on s.user_id = r.user_id and s.i = r.i + 1))
+    select user_id, i, round(y, 6) as y from r where i >= 0""")
 def biquad_filter(spark, sf_dir):
     """A second-order recursive filter per user."""
     return folds.biquad(samples(spark, sf_dir), "user_id", "i", "v", (0.25, 0.5, 0.25), (-0.2, 0.1))
 
 
-@query()
+@query("""
+    with recursive p as (select conv_id, turn, turn * 960 as gran, octet_length(encode(coalesce(text, ''))) // 255 + 1 as need, row_number() over (partition by conv_id order by turn) as i from conversations),
+    r as (select distinct conv_id, 0::bigint as i, 0::bigint as turn, 0::bigint as mine, 0::bigint as need, 0::bigint as page, 0::bigint as held, 0::bigint as since, 0::bigint as now from p
+          union all select conv_id, i, turn, opened, need, opened + case when need > 255 then (need + 254) // 255 when late then 1 else 0 end, case when need > 255 or late then 0 else total end, case when need > 255 or late then gran else opening end, gran from (
+            select p.conv_id, p.i, p.turn, p.need, p.gran, r.held > 0 and (r.held + p.need > 255 or p.gran - r.since > 4800) as breaks, r.page + breaks::int as opened, if(breaks, 0, r.held) + p.need as total,
+                   if(breaks, r.now, r.since) as opening, p.gran - opening >= 4800 as late from r join p on p.conv_id = r.conv_id and p.i = r.i + 1))
+    select conv_id, turn, mine as page, need as lacing from r where i > 0""")
 def page_breaks(spark, sf_dir):
     """Packets in pages of at most 255 lacing values, or when a page is late."""
     e = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("bytes"))

@@ -27,10 +27,16 @@ def title_gain(spark, sf_dir):
     return loudness.title_gain(both.select("title", loudness.level_bin(F.col("energy"), F.col("r"), WINDOW).alias("bin")), "title", "bin")
 
 
-@query()
+@query(f"""
+    with recursive {SAMPLES}, k as (select {list(loudness.YULE[44100])}::double[] as yule, {list(loudness.BUTTER[44100])}::double[] as butter),
+    r as (select user_id, -1::bigint as i, list_transform(range(0, 10), lambda j: 0.0::double) as x, list_transform(range(0, 10), lambda j: 0.0::double) as y, [0.0::double, 0.0] as z from s where i = 0
+          union all select user_id, i, xs[2:], list_append(y[2:], w), [z[2], butter[5] * w + butter[3] * y[10] + butter[1] * y[9] - butter[4] * z[2] - butter[2] * z[1]] from (
+            select s.user_id, s.i, list_append(r.x, s.v::double) as xs, r.y, r.z, k.butter, list_dot_product(xs, k.yule[:11]) - list_dot_product(r.y, k.yule[12:]) as w from r join s on s.user_id = r.user_id and s.i = r.i + 1, k))
+    select user_id, i, round(z[2], 3) as y from r where i >= 0""")
 def weighted_samples(spark, sf_dir):
     """Each user's samples through the loudness filters of 44.1 kHz."""
-    return loudness.weighted(samples(spark, sf_dir).select("user_id", "i", F.col("v").cast("double").alias("v")), "user_id", "i", "v")
+    t = loudness.weighted(samples(spark, sf_dir).select("user_id", "i", F.col("v").cast("double").alias("v")), "user_id", "i", "v")
+    return t.withColumn("y", F.round("y", 3))
 
 
 @query("""
