@@ -63,7 +63,11 @@ def adler32(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", checksums.adler32(checksums.byte_values(F.col("content"))).alias("adler"))
 
 
-@query()
+@query("""
+    with t as (select list_transform(range(0, 256), lambda v: list_reduce(list_prepend(v::bigint << 24, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda a, _: xor((a << 1) & 4294967295, (a >> 31) * 79764919))) as high,
+        list_transform(range(0, 256), lambda v: list_reduce(list_prepend(v::bigint, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda a, _: xor(a >> 1, (a & 1) * 40961))) as low),
+    p as (select page_id, list_prepend(0::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(html, ''))), '..'), lambda h: ('0x' || h)::bigint)) as b from pages)
+    select page_id, list_reduce(b, lambda a, x: xor((a << 8) & 4294967295, high[xor(a >> 24, x) + 1]))::bigint as ogg, list_reduce(b, lambda a, x: xor(a >> 8, low[xor(a & 255, x) + 1]))::bigint as music from p, t""")
 def ogg_and_music_crc(spark, sf_dir):
     """The unreflected 32-bit and the reflected 16-bit CRC of each page."""
     t = table(spark, sf_dir, "pages").select("page_id", checksums.other_crcs(F.encode("html", "UTF-8")).alias("c"))
