@@ -99,7 +99,11 @@ def quantised_blocks(spark, sf_dir):
     return t.select("vec_id", F.size(F.filter("q", lambda x: x != 0)).alias("nonzero"), F.element_at("q", 1).alias("dc"))
 
 
-@query()
+@query("""
+    with v as (select vec_id, embedding::double[] as v, unnest(range(0, 3)) as block from embeddings), k as (select unnest(range(0, 16)) as k),
+    m as (select k, list_transform(range(0, 32), lambda t: sin(pi() / 32 * (t + 0.5)) * cos(pi() / 16 * (t + 8.5) * (k + 0.5))) as row from k),
+    c as (select vec_id, block, list_dot_product(v[16 * block + 1 : 16 * block + 32], row) as c from v, m where len(v) >= 16 * block + 32)
+    select vec_id, block::int as block, round(sum(c * c), 6) as energy from c group by all""")
 def lapped_transform(spark, sf_dir):
     t = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(signal.mdct(16)(F.col("embedding"))).alias("block", "c"))
     return t.select("vec_id", "block", F.round(signal.energy(F.col("c")), 6).alias("energy"))
