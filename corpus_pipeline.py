@@ -27,7 +27,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, Jaccard similarity of 0.8 or more) the smallest doc_id stays. Operator 8's four bits of 64 would leave about half of the copies in."""
+    """Of each group of near copies (five words, Jaccard similarity of 0.8 or more) the smallest doc_id stays.
+
+    Candidates come by operator 8's method, SimHash and segment-popcount embedding, with 256 bits (`simhash.similar_links`);
+    whole shingle sets decide. Four bits of 64, which the contract fixes for op8 alone, would leave most of such copies in.
+    """
     return jaccard.deduplicate(docs)
 
 

@@ -1,17 +1,19 @@
-"""Near-dedup by the Jaccard similarity of word shingles: MinHash cells, every link checked exactly.
+"""Near-dedup by the Jaccard similarity of word shingles: operator 8's method proposes, whole shingle sets decide.
 
 Two texts are linked if the sets of their shingles have a Jaccard similarity of `least` or
-more; groups are the connected components of links. Fingerprints of 64 bits can't stand for
+more; groups are the connected components of links. Candidates are found by SimHash and
+segment-popcount embedding (`simhash.similar_links`): 256 majority bits of the shingle hashes, grids over groups
+of the 128 two-bit counts, Manhattan filter, Hamming distance. Op 8's 64 bits can't stand for
 0.8: such pairs differ in ten bits or so, where no grid of simhash prunes anything.
 
-Cells: BANDS hashes of ROWS minima each. A pair of similarity s shares a cell with
-probability 1 - (1 - s^5)^24, which is 0.99993 at 0.8 and 0.999999 at 0.85; a pair that
-shares one is decided by its shingle sets alone, as 64-bit hashes.
+A pair of similarity 0.8 shares no cell with probability 1e-4 by formula (over 0.85, 2e-7); beyond 72 of
+256 bits, or 26 of the first 64, it isn't a candidate (39 and 10 are expected at 0.8; texts of under ten shingles stray further).
+Candidates' components hold every link found, so each is split exactly by its texts' shingle sets, as 64-bit hashes.
 
-Scale: a cell's members are first tried against one hub (two rounds of different hubs, linear
-in the cells), and what is linked then needs no pairs among itself. Only members of a cell
-that are still in different components meet each other. Shingle sets are made for documents
-in pairs only. Links, labels and cells stay in written tables.
+Scale: equal shingle sets are one node, equal fingerprints one point of the search. A cell yields links in
+proportion to its members, never all pairs. A component of candidates is read by one task, a set a node;
+from one of its texts all that are similar are taken away at once, so a group of near copies costs a few passes.
+Links, labels and fingerprints stay in written tables; whole texts move only where they are candidates.
 
 Defined cases: null, empty and blank texts share one shingle and are copies of each other;
 fewer words than a shingle: the whole sequence is one shingle; repeated rows are rows of one
@@ -28,14 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import units
+from . import simhash, units
 from .common import Workspace, name, packed
 from .components import connected_components
 
-WORDS, LEAST, BANDS, ROWS, SEED = 5, 0.8, 24, 5, 42
-#: Shingles hashed at once: bounds the memory of a very long text, and fits a core's cache.
-BLOCK = 512
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+WORDS, LEAST, SEED = 5, 0.8, 42
+#: Rows of numbers up to which a table is sent to all tasks rather than whole texts to it.
+FEW = 1 << 20
 #: A word's hash is a polynomial of random numbers for its bytes; bytes handled at once, and the powers of its base and of its inverse.
 BYTES = 1 << 18
 _TABLE = np.random.default_rng(SEED + 1).integers(0, 1 << 64, 256, np.uint64)[units.LOWER]
@@ -87,102 +88,132 @@ def shingles(data: bytes | None, words: int = WORDS) -> np.ndarray:
     return next(sets_of(data, np.array([0, len(data)], np.int64), words))
 
 
-def cells_of(found: np.ndarray) -> np.ndarray:
-    """The BANDS cells of a shingle set."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(found), BLOCK):
-        np.minimum(least, ((found[None, at : at + BLOCK] ^ _MIX[0]) * (_MIX[1] | np.uint64(1))).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
-
-
 def _arrays(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
+def _numbers(x: list | np.ndarray) -> pa.Array:
+    return pa.array(np.asarray(x, np.uint64).view(np.int64))
+
+
 def _base(df: DataFrame, text: str, id: str, words: int) -> DataFrame:
-    """row, id, rid, cells."""
+    """row, id, rid, key (of the shingle set), node (of the fingerprint), the fingerprint's parts."""
 
     def run(batches):
         for batch in batches:
             for at, data, offsets in units.slices(batch.column("data")):
-                made = [cells_of(x) for x in sets_of(data, offsets, words)]
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(made)), batch.column("id").slice(at, len(made)), _arrays(made)], ["row", "id", "cells"])
+                keys, fps = [], []
+                for found in sets_of(data, offsets, words):
+                    keys.append(xxhash.xxh3_64_intdigest(found.tobytes(), SEED))
+                    fps.append(simhash.wide_fingerprint(found))
+                fp = np.stack(fps)
+                made = [_numbers(keys), _numbers(simhash.wide_node(fp)), *(_numbers(np.ascontiguousarray(x)) for x in fp.T)]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(keys)), batch.column("id").slice(at, len(keys)), *made], ["row", "id", "key", "node", *simhash.WIDE])
 
     given = df.select(packed(df).alias("row"), name(id).alias("id"), name(text).cast("binary").alias("data"))
     kind = {f.name: f.dataType.simpleString() for f in given.select("row", "id").schema}
-    return given.mapInArrow(run, f"row {kind['row']}, id {kind['id']}, cells array<long>").withColumn("rid", F.monotonically_increasing_id())
+    made = ", ".join(f"{x} long" for x in ["key", "node", *simhash.WIDE])
+    return given.mapInArrow(run, f"row {kind['row']}, id {kind['id']}, {made}").withColumn("rid", F.monotonically_increasing_id())
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """From rid, data: rid, set."""
+    """From part, key, data: part, key, set."""
 
     def run(batches):
         for batch in batches:
             for at, data, offsets in units.slices(batch.column("data")):
                 made = list(sets_of(data, offsets, words))
-                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(at, len(made)), _arrays(made)], ["rid", "set"])
-
-    return docs.select("rid", "data").mapInArrow(run, "rid long, set array<long>")
-
-
-def _verified(pairs: DataFrame, base: DataFrame, text: str, words: int, least: float, space: Workspace) -> DataFrame:
-    """The pairs a, b whose shingle sets are as similar as `least`."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct()
-    docs = base.select("rid", F.col("row").getField(text).cast("binary").alias("data")).join(named, F.col("rid") == F.col("r"), "left_semi")
-    sets = space.write(_sets(docs, words), "sets")
-    of = lambda k: sets.select(F.col("rid").alias(f"r{k}"), F.col("set").alias(f"set{k}"))
-    t = pairs.join(of("a"), F.col("a") == F.col("ra")).join(of("b"), F.col("b") == F.col("rb"))
-    t = t.select("a", "b", F.size(F.array_intersect("seta", "setb")).alias("both"), (F.size("seta") + F.size("setb")).alias("all"))
-    found = space.write(t.where(F.col("both") / (F.col("all") - F.col("both")) >= least).select("a", "b"), "links")
-    space.drop(sets)
-    return found
-
-
-def _distinct(a, b, t: DataFrame) -> DataFrame:
-    return t.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
-
-
-def near_links(base: DataFrame, space: Workspace, text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """node, root: components of all pairs that share a cell and are as similar as `least`."""
-    cells = base.select("rid", F.explode("cells").alias("cell"))
-    several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("cell").alias("c"))
-    # Who has joined whom so far: at first everybody is alone.
-    cells = space.write(cells.join(several, F.col("cell") == F.col("c"), "left_semi").withColumn("root", F.col("rid")), "cells")
-    links, tried = None, None
-    for turn in range(3):
-        if turn < 2:
-            hubs = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("x"), "rid", "root")).alias("h"))
-            hubs = hubs.select(F.col("cell").alias("c"), F.col("h.rid").alias("hub"), F.col("h.root").alias("hub_root"))
-            pairs = _distinct("rid", "hub", cells.join(hubs, F.col("cell") == F.col("c")).where("root != hub_root"))
-        else:
-            other = cells.select(F.col("cell").alias("c"), F.col("rid").alias("hub"), F.col("root").alias("hub_root"))
-            pairs = _distinct("rid", "hub", cells.join(other, (F.col("cell") == F.col("c")) & (F.col("rid") < F.col("hub")) & (F.col("root") != F.col("hub_root"))))
-        if tried is not None:
-            done = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
-            pairs = pairs.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-        pairs = space.write(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _verified(pairs, base, text, words, least, space)
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links, space)
-        if turn < 2:  # cells whose members are all of one component are done
-            t = cells.drop("root").join(labels, F.col("rid") == F.col("node"), "left").select("cell", "rid", F.coalesce("root", "rid").alias("root"))
-            open_ = t.groupBy("cell").agg((F.min("root") != F.max("root")).alias("open")).where("open").select(F.col("cell").alias("c"))
-            cells = space.write(t.join(open_, F.col("cell") == F.col("c"), "left_semi"), "open")
-            if cells.isEmpty():
-                break
-    return labels
+                yield pa.RecordBatch.from_arrays([batch.column("part").slice(at, len(made)), batch.column("key").slice(at, len(made)), _arrays(made)], ["part", "key", "set"])
+
+    return docs.select("part", "key", "data").mapInArrow(run, "part long, key long, set array<long>")
+
+
+def components_of(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Of each set: the first set that it reaches over pairs as similar as `least`. Exact."""
+    sizes, root = np.array(list(map(len, sets))), np.arange(len(sets))
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    mark = np.zeros(1 + max(int(x.max()) for x in codes), bool)
+
+    def gather(rest):
+        return rest, np.concatenate([codes[k] for k in rest.tolist()]), np.concatenate(([0], np.cumsum(sizes[rest])[:-1])), np.ones(len(rest), bool)
+
+    left, held, starts, alive = gather(np.arange(len(sets)))
+    while alive.any():
+        at = int(alive.argmax())
+        alive[at] = False
+        own, front = left[at], [left[at]]
+        while front and alive.any():
+            x = front.pop()
+            if 2 * alive.sum() < len(left):
+                left, held, starts, alive = gather(left[alive])
+            mark[codes[x]] = True
+            both = np.add.reduceat(mark[held], starts, dtype=np.int64)
+            mark[codes[x]] = False
+            near = alive & (both / (sizes[x] + sizes[left] - both) >= least)
+            root[left[near]] = own
+            front.extend(left[near])
+            alive &= ~near
+    return root
+
+
+def _decided(sets: DataFrame, least: float) -> DataFrame:
+    """From part, key, set: key, comp (one of its keys) of all sets, each part split by its links."""
+
+    def split(keys, found):
+        return np.array(keys, np.int64), np.array(keys, np.int64)[components_of(found, least)]
+
+    def run(batches):
+        now, keys, found = None, [], []
+        for batch in batches:
+            parts, own = batch.column("part").to_pylist(), batch.column("key").to_pylist()
+            ends, data = batch.column("set").offsets.to_numpy(), batch.column("set").values.to_numpy().view(np.uint64)
+            for part, key, a, b in zip(parts, own, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if part != now and keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in split(keys, found)], ["key", "comp"])
+                    keys, found = [], []
+                now = part
+                keys.append(key)
+                found.append(data[a:b].copy())
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in split(keys, found)], ["key", "comp"])
+
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "key long, comp long")
+
+
+def _sent(t: DataFrame) -> DataFrame:
+    return F.broadcast(t) if t.count() <= FEW else t
+
+
+def lost_rows(base: DataFrame, space: Workspace, text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """rid of the rows that are copies of one that stays."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
+    keys = base.groupBy("key").agg(F.first("node").alias("node"), *[F.first(x).alias(x) for x in simhash.WIDE], first.alias("best"), F.count(F.lit(1)).alias("n"))
+    keys = space.write(keys, "keys")
+    points = space.write(keys.select("node", *simhash.WIDE).dropDuplicates(["node"]), "points")
+    links = space.write(simhash.similar_links(points, points.count(), least).distinct(), "candidates")
+    labels = connected_components(links, space).select(F.col("node").alias("m"), "root")
+    parts = keys.join(labels, F.col("node") == F.col("m"), "left").select("key", "best", "n", F.coalesce("root", "node").alias("part"))
+    parts = space.write(parts, "parts")
+    several = parts.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("part").alias("p"))
+    several = space.write(parts.join(several, F.col("part") == F.col("p"), "left_semi"), "several")
+    chosen = several.select("part", "key", F.col("best.rid").alias("r"))
+    docs = base.select("rid", F.col("row").getField(text).cast("binary").alias("data")).join(_sent(chosen), F.col("rid") == F.col("r"))
+    comps = space.write(_decided(_sets(docs, words), least), "components")
+    comps = comps.select(F.col("key").alias("c"), "comp").where("c != comp")
+    comps = space.write(comps.unionByName(comps.select(F.col("comp").alias("c"), "comp").distinct()), "joined")
+    of = several.join(comps, F.col("key") == F.col("c")).select("key", "best", "comp")
+    least_of = of.groupBy("comp").agg(F.min("best").alias("kept")).withColumnRenamed("comp", "c")
+    stays = of.join(least_of, F.col("comp") == F.col("c")).select("key", F.col("kept.rid").alias("keep"))
+    alone = parts.where("n > 1").join(comps, F.col("key") == F.col("c"), "left_anti").select("key", F.col("best.rid").alias("keep"))
+    stays = space.write(stays.unionByName(alone).withColumnRenamed("key", "k"), "stays")
+    return space.write(base.select("rid", "key").join(stays, F.col("key") == F.col("k")).where("rid != keep").select(F.col("rid").alias("lost")), "lost")
 
 
 def deduplicate(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = WORDS, least: float = LEAST) -> DataFrame:
     """One document of each group of near copies, that with the smallest id, with the input's columns."""
     space = Workspace(df.sparkSession)
-    base = space.write(_base(df, text, id, words), "cells_of_rows")
-    labels = space.write(near_links(base, space, text, words, least), "labels")
-    members = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
-    of = base.select("rid", "id").join(members, F.col("rid") == F.col("node"))
-    best = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("least"))
-    lost = members.join(best.select(F.col("root").alias("r"), F.col("least.rid").alias("keep")), F.col("root") == F.col("r")).where("node != keep").select("node")
-    lost = space.write(lost, "lost")
-    return base.join(lost, F.col("rid") == F.col("node"), "left_anti").select("row.*")
+    base = space.write(_base(df, text, id, words), "fingerprints")
+    lost = lost_rows(base, space, text, words, least)
+    return base.join(_sent(lost), F.col("rid") == F.col("lost"), "left_anti").select("row.*")

@@ -11,6 +11,13 @@ most 4, at least two groups agree entirely, so each of the 15 pairs of groups is
 and two fingerprints within range share a cell of at least one of them. Fingerprints of
 a cell are filtered by the Manhattan bound, and what passes is verified by Hamming distance.
 
+Similarity in place of bits: a Jaccard similarity of 0.8 is an angle at which some 15 % of the bits differ,
+too many for 64 bits and for pigeonholes. `similar_links` searches fingerprints of PARTS times 64 bits in the same
+way: embedding, grids of coordinate groups, Manhattan filter, Hamming distance. Its groups come from
+random orders of the coordinates, as many as let a pair at the threshold share no cell with probability MISS;
+what it finds are candidates, which `jaccard` decides on whole shingle sets. Groups widen with the table, so that a
+cell holds some CROWD fingerprints at most on average.
+
 Scale: equal fingerprints are one node before the join (map-side partial sums). A cell
 over HOT fingerprints is cut again by the same rule within its other coordinates; what
 is still over HOT then is dealt to pairs of blocks, so no task holds more than two
@@ -26,6 +33,8 @@ Long texts are fingerprinted whole; a task holds one text's shingles beside its
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +52,10 @@ BLOCK = 1 << 16
 LOW = np.uint64(0x5555555555555555)
 #: Two-bit segments of each coordinate group.
 GROUPS = (6, 6, 5, 5, 5, 5)
+#: Of the search by similarity: 64-bit parts of a fingerprint, most bits that differ in all and in the first part, the chance to share no cell, the narrowest group, and a cell's mean size.
+PARTS, FAR, FAR_FIRST, MISS, NARROW, CROWD = 4, 72, 26, 1e-4, 6, 16384
+WIDE = [f"f{k}" for k in range(PARTS)]
+_SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, PARTS, np.uint64)
 
 
 def fingerprint(data: bytes | None, words: int = WORDS) -> int:
@@ -228,3 +241,133 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", words
 def deduplicate(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One document of each group of near copies, that with the smallest id, with the input's columns."""
     return near_duplicates(df, text, id).where("kept").select("row.*")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """PARTS times 64 majority bits of shingle hashes."""
+    total = np.zeros(64 * PARTS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = _mixed(hashes[at : at + BLOCK, None] ^ _SALTS)
+        total += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def wide_node(fp: np.ndarray) -> np.ndarray:
+    """A number for each row of fingerprint parts. Two that share it by chance become candidates, no more."""
+    found = np.zeros(len(fp), np.uint64)
+    for k in range(PARTS):
+        found = _mixed(found ^ fp[:, k]) + np.uint64(k + 1)
+    return found
+
+
+def wide_grids(n: int, least: float) -> np.ndarray:
+    """Of each grid for n fingerprints: the masks of its coordinate group, a row of PARTS."""
+    differ = math.acos(2 * least / (1 + least)) / math.pi
+    agree = (1 - differ) ** 2 + differ**2 / 2  # both bits of a segment, or both the other way round
+    wide = min(32 * PARTS, max(NARROW, math.ceil(math.log(max(n, 1) / CROWD) / math.log(8 / 3))))  # random segments agree in 3 of 8
+    grids = math.ceil(math.log(MISS) / math.log1p(-(agree**wide)))
+    rng, groups = np.random.default_rng(SEED), []
+    while len(groups) < grids:
+        order = rng.permutation(32 * PARTS)
+        groups += [order[at : at + wide] for at in range(0, len(order) - wide + 1, wide)]
+    masks = np.zeros((grids, PARTS), np.uint64)
+    for k, group in enumerate(groups[:grids]):
+        for x in group.tolist():
+            masks[k, x // 32] |= np.uint64(3 << (2 * (x % 32)))
+    return masks
+
+
+def wide_cells(fp: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Each fingerprint's cell of each grid."""
+    un, found = unary(fp), np.empty((len(fp), len(masks)), np.uint64)
+    for k, mask in enumerate(masks):
+        cell = np.full(len(fp), k + 1, np.uint64)
+        for part in np.flatnonzero(mask):
+            cell = _mixed(cell ^ (un[:, part] & mask[part])) + np.uint64(part)
+        found[:, k] = cell
+    return found
+
+
+def _near(fp: np.ndarray, un: np.ndarray, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+    near = np.bitwise_count(un[i] ^ un[j]).sum(axis=1, dtype=np.int64) <= FAR
+    return near & (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= FAR)
+
+
+def wide_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows i, j) among one cell's fingerprints whose closure is that of all pairs in range: all if few, else a spanning forest."""
+    un, first, n = unary(fp), fp[:, 0].copy(), len(fp)
+    linked, found, many, step = np.zeros(n, bool), [], 0, max(1, (1 << 18) // n)
+    for at in range(0, n, step):
+        i, j = np.nonzero(np.bitwise_count(first[at : at + step, None] ^ first[None, at:]) <= FAR_FIRST)
+        i, j = i[i < j] + at, j[i < j] + at
+        near = _near(fp, un, i, j)
+        i, j = i[near], j[near]
+        linked[i] = linked[j] = True
+        if (many := many + len(i)) <= 2 * n:
+            found.append((i, j))
+    if many > 2 * n:
+        left, found = np.flatnonzero(linked), []
+        while len(left):
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                x = front.pop()
+                near = _near(fp, un, left, x)
+                if near.any():
+                    new = left[near]
+                    found.append((np.full(len(new), x), new))
+                    front.extend(new)
+                    left = left[~near]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _whole_cells(batches) -> Iterator[list[np.ndarray]]:
+    """From batches sorted by their first column: their columns, whole cells at once."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(batch.num_columns)])
+        if held[-1][0][-1] == held[0][0][0]:
+            continue
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1
+        yield [x[:cut] for x in whole]
+        held = [[x[cut:] for x in whole]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def similar_links(nodes: DataFrame, n: int, least: float) -> DataFrame:
+    """From n distinct fingerprints f0, f1, ...: links a, b of their node numbers, candidates for a similarity of `least` or more."""
+    masks = wide_grids(n, least)
+
+    def deal(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                fp = np.stack([part.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(PARTS)], axis=1)
+                made = [wide_cells(fp, masks).ravel(), *np.repeat(fp, len(masks), axis=0).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in made], ["cell", *WIDE])
+
+    def link(batches):
+        for cell, *parts in _whole_cells(batches):
+            fp, out = np.stack(parts, axis=1), []
+            cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a > 1:
+                    i, j = wide_links(fp[a:b])
+                    if len(i):
+                        out.append((i + a, j + a))
+            if out:
+                ends = [wide_node(fp[np.concatenate(x)]) for x in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in ends], ["a", "b"])
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = nodes.select(*WIDE).mapInArrow(deal, ", ".join(f"{x} long" for x in ["cell", *WIDE]))
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long")
