@@ -82,6 +82,19 @@ def scratch():
             space.remove()
 
 
+@contextlib.contextmanager
+def noted():
+    """The workspaces opened within. They stay; a scratch() around it learns of them too."""
+    opened: list[Workspace] = []
+    outer, token = _scratch.get(), _scratch.set(opened)
+    try:
+        yield opened
+    finally:
+        _scratch.reset(token)
+        if outer is not None:
+            outer.extend(opened)
+
+
 def name(column: str) -> Column:
     """The column of that very name, dots and all."""
     return F.col(f"`{column}`")

@@ -114,7 +114,7 @@ def _base(df: DataFrame, text: str, id: str, words: int) -> DataFrame:
     given = df.select(packed(df).alias("row"), name(id).alias("id"), name(text).cast("binary").alias("data"))
     kind = {f.name: f.dataType.simpleString() for f in given.select("row", "id").schema}
     made = ", ".join(f"{x} long" for x in ["key", "node", *simhash.WIDE])
-    return given.mapInArrow(run, f"row {kind['row']}, id {kind['id']}, {made}").withColumn("rid", F.monotonically_increasing_id())
+    return given.mapInArrow(units.tidy(run), f"row {kind['row']}, id {kind['id']}, {made}").withColumn("rid", F.monotonically_increasing_id())
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -126,7 +126,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 made = list(sets_of(data, offsets, words))
                 yield pa.RecordBatch.from_arrays([batch.column("part").slice(at, len(made)), batch.column("key").slice(at, len(made)), _arrays(made)], ["part", "key", "set"])
 
-    return docs.select("part", "key", "data").mapInArrow(run, "part long, key long, set array<long>")
+    return docs.select("part", "key", "data").mapInArrow(units.tidy(run), "part long, key long, set array<long>")
 
 
 def components_of(sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -179,7 +179,7 @@ def _decided(sets: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in split(keys, found)], ["key", "comp"])
 
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "key long, comp long")
+    return sets.repartition(n, "part").sortWithinPartitions("part").mapInArrow(units.tidy(run), "key long, comp long")
 
 
 def _sent(t: DataFrame) -> DataFrame:

@@ -81,4 +81,4 @@ def pack(df: DataFrame, path: str, text: str = "text", id: str = "doc_id", longe
                 yield pa.RecordBatch.from_arrays(columns, ["id", *(c.split()[0] for c in SCHEMA.split(", ")), *["ids"] * with_ids])
 
     kind = given.schema["id"].dataType.simpleString()
-    return given.mapInArrow(run, f"id {kind}, {SCHEMA}" + ", ids array<int>" * with_ids)
+    return given.mapInArrow(units.tidy(run), f"id {kind}, {SCHEMA}" + ", ids array<int>" * with_ids)

@@ -43,6 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import units
 from .common import Workspace, name, packed
 from .components import connected_components
 
@@ -369,5 +370,5 @@ def similar_links(nodes: DataFrame, n: int, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in ends], ["a", "b"])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = nodes.select(*WIDE).mapInArrow(deal, ", ".join(f"{x} long" for x in ["cell", *WIDE]))
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long")
+    cells = nodes.select(*WIDE).mapInArrow(units.tidy(deal), ", ".join(f"{x} long" for x in ["cell", *WIDE]))
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(units.tidy(link), "a long, b long")
