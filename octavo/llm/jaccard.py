@@ -10,8 +10,8 @@ A pair of similarity 0.8 shares no cell with probability 1e-4 by formula (over 0
 256 bits, or 26 of the first 64, it isn't a candidate (39 and 10 are expected at 0.8; texts of under ten shingles stray further).
 Candidates' components hold every link found, so each is split exactly by its texts' shingle sets, as 64-bit hashes.
 
-Scale: equal shingle sets are one node, equal fingerprints one point of the search. A cell yields links in
-proportion to its members, never all pairs. A component of candidates is read by one task, a set a node;
+Scale: equal shingle sets are one node, equal fingerprints one point of the search. A cell ties each
+of its members to one other at most, never all pairs. A component of candidates is read by one task, a set a node;
 from one of its texts all that are similar are taken away at once, so a group of near copies costs a few passes.
 Links, labels and fingerprints stay in written tables; whole texts move only where they are candidates.
 

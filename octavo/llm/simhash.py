@@ -301,9 +301,9 @@ def _near(fp: np.ndarray, un: np.ndarray, i: np.ndarray, j: np.ndarray | int) ->
 
 
 def wide_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (rows i, j) among one cell's fingerprints whose closure is that of all pairs in range: all if few, else a spanning forest."""
+    """Of one cell's fingerprints: each row i that reaches a smaller row over pairs in range, and the smallest such row."""
     un, first, n = unary(fp), fp[:, 0].copy(), len(fp)
-    linked, found, many, step = np.zeros(n, bool), [], 0, max(1, (1 << 18) // n)
+    linked, root, pairs, many, step = np.zeros(n, bool), np.arange(n), [], 0, max(1, (1 << 18) // n)
     for at in range(0, n, step):
         i, j = np.nonzero(np.bitwise_count(first[at : at + step, None] ^ first[None, at:]) <= FAR_FIRST)
         i, j = i[i < j] + at, j[i < j] + at
@@ -311,20 +311,31 @@ def wide_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, j = i[near], j[near]
         linked[i] = linked[j] = True
         if (many := many + len(i)) <= 2 * n:
-            found.append((i, j))
-    if many > 2 * n:
-        left, found = np.flatnonzero(linked), []
+            pairs += zip(i.tolist(), j.tolist(), strict=True)
+    if many <= 2 * n:
+        up: dict[int, int] = {}
+        for pair in pairs:
+            a, b = pair
+            while a in up:
+                a = up[a]
+            while b in up:
+                b = up[b]
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        for x in sorted(up):
+            root[x] = root[up[x]]
+    else:
+        left = np.flatnonzero(linked)
         while len(left):
-            front, left = [left[0]], left[1:]
+            own, front, left = left[0], [left[0]], left[1:]
             while front and len(left):
-                x = front.pop()
-                near = _near(fp, un, left, x)
+                near = _near(fp, un, left, front.pop())
                 if near.any():
-                    new = left[near]
-                    found.append((np.full(len(new), x), new))
-                    front.extend(new)
+                    root[left[near]] = own
+                    front.extend(left[near])
                     left = left[~near]
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    i = np.flatnonzero(root != np.arange(n))
+    return i, root[i]
 
 
 def _whole_cells(batches) -> Iterator[list[np.ndarray]]:
@@ -359,6 +370,9 @@ def similar_links(nodes: DataFrame, n: int, least: float) -> DataFrame:
     def link(batches):
         for cell, *parts in _whole_cells(batches):
             fp, out = np.stack(parts, axis=1), []
+            node = wide_node(fp).view(np.int64)
+            order = np.lexsort((node, cell))  # cells that share members then mostly share their smallest, and links repeat
+            cell, fp, node = cell[order], fp[order], node[order]
             cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))).tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a > 1:
@@ -366,8 +380,7 @@ def similar_links(nodes: DataFrame, n: int, least: float) -> DataFrame:
                     if len(i):
                         out.append((i + a, j + a))
             if out:
-                ends = [wide_node(fp[np.concatenate(x)]) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in ends], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(x)]) for x in zip(*out, strict=True)], ["a", "b"])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = nodes.select(*WIDE).mapInArrow(units.tidy(deal), ", ".join(f"{x} long" for x in ["cell", *WIDE]))

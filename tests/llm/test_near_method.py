@@ -65,3 +65,12 @@ def test_components_of_sets_against_brute_force():
     own = [set(x.tolist()) for x in sets]
     pairs = [(a, b) for b in range(len(own)) for a in range(b) if len(own[a] & own[b]) / len(own[a] | own[b]) >= 0.8]
     assert pairs and jaccard.components_of(sets, 0.8).tolist() == closure(len(sets), pairs)
+
+
+def test_a_cell_ties_each_member_to_the_smallest_it_reaches():
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 1 << 64, (300, simhash.PARTS), np.uint64)
+    for n in (4, 200):  # few pairs, and many
+        fp[50 : 50 + n] = fp[50] ^ np.packbits(rng.random((n, 64 * simhash.PARTS)) < 0.02, axis=1, bitorder="little").view(np.uint64)
+        i, j = simhash.wide_links(fp)
+        assert i.tolist() == list(range(51, 50 + n)) and set(j.tolist()) == {50}
