@@ -1,116 +1,162 @@
 """LZ77 steps (literals, length, offset) of chunks, by hash chains, greedy or lazy.
 
-Chunks are parsed apart, so the steps are valid but not those of one parse of the whole. Work per position is
-bounded by the chain's depth; a chunk is what one call holds.
+Chunks are parsed apart, so the steps are valid but not those of one parse of the whole. What a position's search finds doesn't
+depend on the parse, so the search runs in numpy over all positions of some chunks at once: positions sorted by their first three
+bytes have their chains before them. Work per position is bounded by the chain's depth. Arrow batches are handled in slices of
+whole chunks: beyond a batch, a worker holds a slice's arrays, or a chunk's if that is larger.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW, LONGEST, SHORTEST = 32768, 258, 3
 #: Depth of the chains searched, the length that ends a search, and the offset beyond which a match of three is not worth it.
 DEPTH, NICE, NEAR = 16, 64, 4096
-STEPS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("literals", "length", "offset")]))
-
-
-def extend(data: bytes, a: int, b: int, most: int) -> int:
-    """Length of the common prefix of data[a:] and data[b:], a < b."""
-    n = 0
-    while n + 16 <= most and data[a + n : a + n + 16] == data[b + n : b + n + 16]:
-        n += 16
-    while n < most and data[a + n] == data[b + n]:
-        n += 1
-    return n
-
-
-def chains(data: bytes) -> list[int]:
-    """For each position the last one before it that starts with the same three bytes, or -1."""
-    x = np.frombuffer(data, np.uint8).astype(np.int32)
-    if len(x) < SHORTEST:
-        return [-1] * len(x)
-    key = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
-    order = np.argsort(key, kind="stable")
-    made = np.full(len(x), -1)
-    same = key[order[1:]] == key[order[:-1]]
-    made[order[1:][same]] = order[:-1][same]
-    return made.tolist()
+#: Bytes of chunks parsed at once, or replayed before they are handed on.
+SLICE = 1 << 18
+NAMES = ("literals", "length", "offset")
+STEPS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in NAMES]))
+
+
+def common(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Lengths, up to most, of what is alike from positions a and b on; words has the eight bytes from each position on."""
+    length, left = np.zeros(len(a), np.int64), np.arange(len(a))
+    while len(left):
+        differ = words[a] ^ words[b]
+        # The bits below the lowest one set, or all 64.
+        length[left] += np.bitwise_count(~differ & (differ - np.uint64(1))) >> 3
+        on = np.flatnonzero((differ == 0) & (length[left] < most[left]))
+        left, a, b = left[on], a[on] + 8, b[on] + 8
+    return np.minimum(length, most)
+
+
+def found(data: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each position of the chunks that end there, length and offset of its best match, or zeros. Of equal lengths the nearest one."""
+    size = len(data)
+    lengths, offsets = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    data = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.lib.stride_tricks.sliding_window_view(data, 8)[:size].copy().view("<u8").ravel()
+    sizes = np.diff(ends, prepend=0)
+    chunk, left = np.repeat(np.arange(len(ends)), sizes), np.repeat(ends, sizes) - np.arange(size)
+    at = np.flatnonzero(left >= SHORTEST)
+    # Three bytes above the position: one sort puts each chain in a row, nearest last.
+    order = np.sort((words[at] & np.uint64(0xFFFFFF)).astype(np.int64) << 32 | at)
+    key, at = order >> 32, order & 0xFFFFFFFF
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (chunk[at[1:]] != chunk[at[:-1]]))) if len(at) else at
+    before = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    most, best, far = np.minimum(left[at], LONGEST), np.full(len(at), SHORTEST - 1), np.zeros(len(at), np.int64)
+    live = np.arange(len(at))
+    for k in range(1, depth + 1):
+        live = live[before[live] >= k]
+        i = at[live]
+        gap = i - at[live - k]
+        near = gap <= WINDOW
+        live, i, gap = live[near], i[near], gap[near]
+        if not len(live):
+            break
+        end = i + best[live]
+        longer = np.flatnonzero(data[end] == data[end - gap])  # else it is no longer than what is found
+        j, i, gap = live[longer], i[longer], gap[longer]
+        n = common(words, i, i - gap, most[j])
+        more = n > best[j]
+        j, n = j[more], n[more]
+        best[j], far[j] = n, gap[more]
+        before[j[(n >= NICE) | (n == most[j])]] = 0
+    good = (best > SHORTEST) | (far > 0) & (far <= NEAR)
+    lengths[at[good]], offsets[at[good]] = best[good], far[good]
+    return lengths, offsets
+
+
+def plans(data: np.ndarray, ends: np.ndarray, lazy: bool = True, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The steps of the chunks that end there, as rows of three, and how many each chunk has."""
+    size = len(data)
+    lengths, offsets = found(data, ends, depth)
+    take = lengths > 0
+    if lazy:
+        bits = np.frexp(offsets)[1]
+        take[:-1] &= (lengths[:-1] >= NICE) | (lengths[1:] == 0) | (4 * (lengths[1:] - lengths[:-1]) + bits[:-1] - bits[1:] <= 2)
+    starts = np.flatnonzero(take)
+    after = np.searchsorted(starts, starts + lengths[starts]).tolist()
+    used, i = [], 0
+    while i < len(after):
+        used.append(i)
+        i = after[i]
+    starts = starts[used]
+    # A match never passes its chunk's end; what is left there is a step of literals.
+    stops = starts + lengths[starts]
+    owner = np.searchsorted(ends, starts, "right")
+    last = np.searchsorted(starts, ends)
+    reached = np.where(last > 0, stops[last - 1], 0) if len(stops) else np.zeros(len(ends), np.int64)
+    begins = np.append(0, ends)[:-1]
+    rest = ends - np.maximum(reached, begins)
+    steps = np.stack((starts - np.maximum(np.append(0, stops)[:-1], begins[owner]), lengths[starts], offsets[starts]), 1)
+    tail = rest > 0
+    made = np.insert(steps, last[tail], np.stack((rest[tail], rest[tail] * 0, rest[tail] * 0), 1), 0)
+    return made, np.bincount(owner, minlength=len(ends)) + tail
 
 
 def steps(data: bytes, lazy: bool = True, depth: int = DEPTH) -> list[tuple[int, int, int]]:
-    size, chain = len(data), chains(data)
-
-    def best(i):
-        most = min(LONGEST, size - i)
-        length, offset, at, left = SHORTEST - 1, 0, chain[i], depth
-        while at >= 0 and i - at <= WINDOW and left:
-            if data[at + length] == data[i + length]:  # else it is no longer than what is found
-                n = extend(data, at, i, most)
-                if n > length:
-                    length, offset = n, i - at
-                    if n >= NICE or n == most:
-                        break
-            at, left = chain[at], left - 1
-        return (length, offset) if length > SHORTEST or (length == SHORTEST and offset <= NEAR) else (0, 0)
-
-    out, start, i, known = [], 0, 0, None
-    while i < size:
-        if chain[i] < 0:
-            i += 1
-            continue
-        length, offset = known or best(i)
-        known = None
-        if not length:
-            i += 1
-            continue
-        if lazy and length < NICE and i + 1 < size:
-            known = best(i + 1)
-            if known[0] and 4 * (known[0] - length) + offset.bit_length() - known[1].bit_length() > 2:
-                i += 1
-                continue
-        out.append((i - start, length, offset))
-        i += length
-        start, known = i, None
-    if start < size:
-        out.append((size - start, 0, 0))
-    return out
-
-
-@F.pandas_udf(STEPS)
-def parsed(data: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else [{"literals": a, "length": n, "offset": o} for a, n, o in steps(x)] for x in data], dtype=object)
-
-
-@F.pandas_udf(T.BinaryType())
-def _replay(literals: pd.Series, made: pd.Series) -> pd.Series:
-    def one(raw, plan):
-        out, at = bytearray(), 0
-        for s in plan:
-            out += raw[at : at + s["literals"]]
-            at += s["literals"]
-            for _ in range(s["length"]):
-                out.append(out[-s["offset"]])
-        return bytes(out)
-
-    return pd.Series([None if a is None else one(a, b) for a, b in zip(literals, made, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.BinaryType())
-def _literals(data: pd.Series, made: pd.Series) -> pd.Series:
-    def one(raw, plan):
-        out, at = bytearray(), 0
-        for s in plan:
-            out += raw[at : at + s["literals"]]
-            at += s["literals"] + s["length"]
-        return bytes(out)
-
-    return pd.Series([None if a is None else one(a, b) for a, b in zip(data, made, strict=True)], dtype=object)
-
-
-def replayed(data: Column, made: Column) -> Column:
+    made, _ = plans(np.frombuffer(data, np.uint8), np.array([len(data)]), lazy, depth)
+    return list(zip(*made.T.tolist(), strict=True))
+
+
+def slices(data: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Some rows of a binary column, their bytes and where each row ends in them; null is empty."""
+    total = np.cumsum(pc.binary_length(data).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = done = 0
+    while at < len(data):
+        to = max(at + 1, int(np.searchsorted(total, done + SLICE, "right")))
+        some = data.slice(at, to - at)
+        yield some, np.frombuffer(b"".join(x for x in some.to_pylist() if x), np.uint8), total[at:to] - done
+        at, done = to, int(total[to - 1])
+
+
+@F.arrow_udf(STEPS)
+def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for some, data, ends in slices(batch):
+            made, n = plans(data, ends)
+            items = pa.StructArray.from_arrays([pa.array(made[:, i].astype(np.int32)) for i in range(3)], NAMES)
+            yield pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), items, mask=some.is_null())
+
+
+def replay(literals: bytes, plan: np.ndarray) -> bytes:
+    """What the steps make of the literals alone."""
+    out, at = bytearray(), 0
+    for n, length, offset in zip(*plan.T.tolist(), strict=True):
+        out += literals[at : at + n]
+        at += n
+        if length:
+            if not 0 < offset <= len(out):
+                raise ValueError(f"offset {offset} after {len(out)} bytes")
+            again = out[len(out) - offset :][:length]
+            out += again if offset >= length else (again * (length // offset + 1))[:length]
+    return bytes(out)
+
+
+@F.arrow_udf(T.BinaryType())
+def replayed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """The bytes that the steps make of the literals alone."""
-    return _replay(_literals(data, made), made)
+    for data, made in batches:
+        out, held = [], 0
+        for raw, plan in zip(data, made, strict=True):
+            if (raw := raw.as_py()) is None or not plan.is_valid:
+                out.append(None)
+            else:
+                plan = np.stack([plan.values.field(n).to_numpy(zero_copy_only=False) for n in NAMES], 1).astype(np.int64)
+                # Where a step's literals end and its match begins, in turn.
+                literal = np.repeat(np.tile([True, False], len(plan)), plan[:, :2].ravel())
+                out.append(replay(np.frombuffer(raw, np.uint8)[literal].tobytes(), plan))
+            held += len(raw or b"")
+            if held >= SLICE:
+                yield pa.array(out, pa.binary())
+                out, held = [], 0
+        if out:
+            yield pa.array(out, pa.binary())

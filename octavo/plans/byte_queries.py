@@ -153,10 +153,10 @@ def zlib_round_trip(spark, sf_dir):
 
 @query("""select doc_id, octet_length(encode(text))::bigint as size, true as same from documents""")
 def lz77_replays(spark, sf_dir):
-    """Steps of each chunk, replayed, are the chunk's bytes."""
+    """Steps of each chunk, replayed, are the chunk's bytes; a null text's are null."""
     t = chunks.chunks(documents(spark, sf_dir), "content", 1 << 16, keep=("doc_id",))
     t = t.withColumn("steps", lz77.parsed(F.col("bytes")))
-    return t.groupBy("doc_id").agg(F.sum(F.octet_length("bytes")).alias("size"), F.bool_and(lz77.replayed(F.col("bytes"), F.col("steps")) == F.col("bytes")).alias("same"))
+    return t.groupBy("doc_id").agg(F.sum(F.octet_length("bytes")).alias("size"), F.bool_and(lz77.replayed(F.col("bytes"), F.col("steps")).eqNullSafe(F.col("bytes"))).alias("same"))
 
 
 @query()
