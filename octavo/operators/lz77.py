@@ -27,13 +27,15 @@ STEPS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in NAM
 
 def common(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Lengths, up to most, of what is alike from positions a and b on; words has the eight bytes from each position on."""
-    length, left = np.zeros(len(a), np.int64), np.arange(len(a))
-    while len(left):
-        differ = words[a] ^ words[b]
-        # The bits below the lowest one set, or all 64.
+    differ = words[a] ^ words[b]
+    # The bits below the lowest one set, or all 64.
+    length = (np.bitwise_count(~differ & (differ - np.uint64(1))) >> 3).astype(np.int64)
+    left = np.flatnonzero(differ == 0)
+    while len(left := left[length[left] < most[left]]):
+        at = length[left]
+        differ = words[a[left] + at] ^ words[b[left] + at]
         length[left] += np.bitwise_count(~differ & (differ - np.uint64(1))) >> 3
-        on = np.flatnonzero((differ == 0) & (length[left] < most[left]))
-        left, a, b = left[on], a[on] + 8, b[on] + 8
+        left = left[differ == 0]
     return np.minimum(length, most)
 
 
@@ -57,8 +59,8 @@ def found(data: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> tuple[np.nd
         live = live[before[live] >= k]
         i = at[live]
         gap = i - at[live - k]
-        near = gap <= WINDOW
-        live, i, gap = live[near], i[near], gap[near]
+        if size > WINDOW and not (near := gap <= WINDOW).all():
+            live, i, gap = live[near], i[near], gap[near]
         if not len(live):
             break
         end = i + best[live]
@@ -84,8 +86,8 @@ def plans(data: np.ndarray, ends: np.ndarray, lazy: bool = True, depth: int = DE
         take[:-1] &= (lengths[:-1] >= NICE) | (lengths[1:] == 0) | (4 * (lengths[1:] - lengths[:-1]) + bits[:-1] - bits[1:] <= 2)
     starts = np.flatnonzero(take)
     after = np.searchsorted(starts, starts + lengths[starts]).tolist()
-    used, i = [], 0
-    while i < len(after):
+    used, i, n = [], 0, len(after)
+    while i < n:
         used.append(i)
         i = after[i]
     starts = starts[used]
@@ -127,36 +129,49 @@ def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), items, mask=some.is_null())
 
 
-def replay(literals: bytes, plan: np.ndarray) -> bytes:
-    """What the steps make of the literals alone."""
-    out, at = bytearray(), 0
-    for n, length, offset in zip(*plan.T.tolist(), strict=True):
-        out += literals[at : at + n]
-        at += n
-        if length:
-            if not 0 < offset <= len(out):
-                raise ValueError(f"offset {offset} after {len(out)} bytes")
-            again = out[len(out) - offset :][:length]
-            out += again if offset >= length else (again * (length // offset + 1))[:length]
-    return bytes(out)
+def replay(literals: np.ndarray, steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What the steps of some chunks, rows of three and so many a chunk, make of their literals alone."""
+    stops = np.cumsum(steps[:, 0] + steps[:, 1])
+    behind = stops - steps[:, 1] - np.repeat(np.append(0, stops)[np.cumsum(counts) - counts], counts)
+    if ((steps[:, 1] > 0) & ((steps[:, 2] < 1) | (steps[:, 2] > behind))).any():
+        raise ValueError("an offset reaches before its chunk")
+    literal = is_literal(steps)
+    # Each byte's source, then that one's, until all are literals: twice as far back each time.
+    source, left = np.arange(len(literal)), np.flatnonzero(~literal)
+    source[left] -= np.repeat(steps[:, 2], steps[:, 1])
+    while len(left := left[~literal[source[left]]]):
+        source[left] = source[source[left]]
+    out = np.zeros(len(literal), np.uint8)
+    out[literal] = literals
+    return out[source]
+
+
+def is_literal(steps: np.ndarray) -> np.ndarray:
+    return np.repeat(np.tile([True, False], len(steps)), steps[:, :2].ravel())
 
 
 @F.arrow_udf(T.BinaryType())
 def replayed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """The bytes that the steps make of the literals alone."""
-    for data, made in batches:
-        out, held = [], 0
-        for raw, plan in zip(data, made, strict=True):
-            if (raw := raw.as_py()) is None or not plan.is_valid:
-                out.append(None)
-            else:
-                plan = np.stack([plan.values.field(n).to_numpy(zero_copy_only=False) for n in NAMES], 1).astype(np.int64)
-                # Where a step's literals end and its match begins, in turn.
-                literal = np.repeat(np.tile([True, False], len(plan)), plan[:, :2].ravel())
-                out.append(replay(np.frombuffer(raw, np.uint8)[literal].tobytes(), plan))
-            held += len(raw or b"")
-            if held >= SLICE:
-                yield pa.array(out, pa.binary())
-                out, held = [], 0
-        if out:
-            yield pa.array(out, pa.binary())
+    for batch, made in batches:
+        at = 0
+        for some, _, _ in slices(batch):
+            plan = made.slice(at, len(some))
+            at += len(some)
+            valid = pc.and_(some.is_valid(), plan.is_valid())
+            plan = plan.filter(valid)
+            counts = pc.list_value_length(plan).to_numpy(zero_copy_only=False).astype(np.int64)
+            items = plan.flatten()
+            steps = np.stack([items.field(n).to_numpy(zero_copy_only=False) for n in NAMES], 1).astype(np.int64)
+            sizes = np.diff(np.append(0, np.cumsum(steps[:, 0] + steps[:, 1]))[np.append(0, np.cumsum(counts))])
+            raw = some.filter(valid)
+            if (sizes != pc.binary_length(raw).to_numpy(zero_copy_only=False)).any():
+                raise ValueError("steps of another size than their chunk")
+            literals = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)[is_literal(steps)]
+            out, ends = replay(literals, steps, counts).tobytes(), iter(np.cumsum(sizes).tolist())
+            begin, back = 0, []
+            for ok in valid.to_pylist():
+                end = next(ends) if ok else begin
+                back.append(out[begin:end] if ok else None)
+                begin = end
+            yield pa.array(back, pa.binary())

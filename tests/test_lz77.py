@@ -81,8 +81,11 @@ def test_replay_uses_the_literals_alone():
     made = pa.array([[{"literals": 2, "length": 5, "offset": 2}, {"literals": 1, "length": 0, "offset": 0}], None, []], pa.list_(pa.struct([(n, pa.int32()) for n in lz77.NAMES])))
     data = pa.array([b"ab?????c", b"x", b""], pa.binary())
     assert pa.concat_arrays(lz77.replayed.func(iter([(data, made)]))).to_pylist() == [b"abababac", None, b""]
+    assert pa.concat_arrays(lz77.replayed.func(iter([(data.take(pa.array([None, 0])), made.take(pa.array([0, 0])))]))).to_pylist() == [None, b"abababac"]
     with pytest.raises(ValueError):
-        lz77.replay(b"ab", lz77.np.array([(2, 3, 5)]))
+        list(lz77.replayed.func(iter([(pa.array([b"abc", b"ab"]), pa.array([[(3, 0, 0)], [(1, 1, 2)]], made.type))])))
+    with pytest.raises(ValueError):
+        list(lz77.replayed.func(iter([(pa.array([b"abc"]), pa.array([[(2, 0, 0)]], made.type))])))
 
 
 def test_replays_of_null_empty_and_long_texts(spark, tmp_path):
