@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +130,23 @@ def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), items, mask=some.is_null())
 
 
+def match_counts(df: DataFrame, content: str) -> DataFrame:
+    """length, matches, literals: how many steps of the chunks match that much, and the literals before them. A length recurs, once a batch at most."""
+
+    def run(batches):
+        for batch in batches:
+            n = np.zeros((2, LONGEST + 1), np.int64)
+            for _, data, ends in slices(batch.column(0)):
+                made, _ = plans(data, ends)
+                for row, weights in zip(n, (None, made[:, 0]), strict=True):
+                    row += np.bincount(made[:, 1], weights, LONGEST + 1).astype(np.int64)
+            n[:, 0] = 0  # steps without a match
+            some = np.flatnonzero(n[0])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *map(pa.array, n[:, some])], ["length", "matches", "literals"])
+
+    return df.select(content).mapInArrow(run, "length int, matches long, literals long")
+
+
 def replay(literals: np.ndarray, steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """What the steps of some chunks, rows of three and so many a chunk, make of their literals alone."""
     stops = np.cumsum(steps[:, 0] + steps[:, 1])

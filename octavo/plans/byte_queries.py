@@ -163,10 +163,10 @@ def lz77_replays(spark, sf_dir):
 def lz77_statistics(spark, sf_dir):
     """Literals, matches and matched bytes by length slot."""
     t = chunks.chunks(documents(spark, sf_dir), "content", 1 << 16, keep=("doc_id",))
-    steps = t.select("doc_id", F.explode(lz77.parsed(F.col("bytes"))).alias("s")).select("doc_id", "s.*").where("length > 0")
+    n = lz77.match_counts(t, "bytes").groupBy("length").agg(F.sum("matches").alias("matches"), F.sum("literals").alias("literals"))
     slots = spark.createDataFrame(bits.length_slots(), "slot int, base int, extra int")
     nxt = F.broadcast(slots.selectExpr("slot", "base", "lead(base, 1, 259) over (order by base) as next"))
-    return steps.join(nxt, (F.col("length") >= F.col("base")) & (F.col("length") < F.col("next"))).groupBy("slot").agg(F.count(F.lit(1)).alias("matches"), F.sum("length").alias("bytes"), F.sum("literals").alias("literals"))
+    return n.join(nxt, (F.col("length") >= F.col("base")) & (F.col("length") < F.col("next"))).groupBy("slot").agg(F.sum("matches").alias("matches"), F.sum(F.col("length") * F.col("matches")).alias("bytes"), F.sum("literals").alias("literals"))
 
 
 @query(f"""

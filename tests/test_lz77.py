@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from octavo.functions import bits
 from octavo.operators import lz77
 
 
@@ -93,3 +94,22 @@ def test_replays_of_null_empty_and_long_texts(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, ""), (3, "ab"), (4, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.size, r.same) for r in entry.queries()["lz77_replays"](spark, str(tmp_path)).collect()}
     assert got == {1: (None, True), 2: (0, True), 3: (2, True), 4: (180000, True)}
+
+
+def test_counts_leave_a_batch_summed(spark, sf):
+    """One row a length and batch, and the query's slots are those of the steps."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    df = spark.createDataFrame([(x.encode(),) for x in [*texts, "", "abc" * 90]] + [(None,)], "bytes binary").coalesce(1)
+    rows = lz77.match_counts(df, "bytes").collect()
+    assert len(rows) == len({r.length for r in rows}) <= lz77.LONGEST - lz77.SHORTEST + 1
+    want = {}
+    for x in [*texts, "", "abc" * 90]:
+        for literals, length, _ in lz77.steps(x.encode()):
+            n = want.setdefault(length, [0, 0])
+            want[length] = [n[0] + 1, n[1] + literals]
+    want.pop(0)
+    assert {r.length: [r.matches, r.literals] for r in rows} == want
+    slots, got = [s for s in bits.length_slots()], {r.slot: (r.matches, r.bytes, r.literals) for r in entry.queries()["lz77_statistics"](spark, sf).collect()}
+    for slot, base, _ in slots:
+        some = [s for x in texts for s in lz77.steps(x.encode()) if s[1] and max(k for k, b, _ in slots if b <= s[1]) == slot]
+        assert base and got.get(slot, (0, 0, 0)) == (len(some), sum(s[1] for s in some), sum(s[0] for s in some))
